@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -166,7 +167,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(known.text.tolist(), known.toxic.tolist(), odds)
     prior = float(known.toxic.max()) if len(known) else 0.0
 
-    def run(series):
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         distance = Distance(model["toxic"], model["ordinary"]) if model else None
         for texts in series:
             if model is None:
@@ -175,6 +176,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 z = np.array([features(distance, t) for t in texts] or np.zeros((0, len(model["weights"])))) @ model["weights"]
                 yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    scorer = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    scorer = F.pandas_udf(run, "double")
     out = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), scorer(F.coalesce("text", F.lit(""))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
