@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.functions.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.mixing import mix
 
@@ -45,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op4_packing, op5_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
