@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: its cleaner acts on collected objects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(WHITE))

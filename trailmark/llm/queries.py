@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.lm_scoring import score
 
@@ -54,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
