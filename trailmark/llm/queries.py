@@ -53,6 +53,12 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.toxicity import score
 
@@ -60,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op9_nearest_neighbours, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
