@@ -53,6 +53,21 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.pii import KINDS, as_text, find
+
+    found = find(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.ann import search
 
@@ -66,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op9_nearest_neighbours, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op6_url_filter, op7_personal_data, op9_nearest_neighbours, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
