@@ -68,6 +68,12 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.ann import search
 
@@ -81,7 +87,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op6_url_filter, op7_personal_data, op9_nearest_neighbours, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_mixing, op4_packing, op5_exact_dedup, op6_url_filter, op7_personal_data, op8_near_dedup, op9_nearest_neighbours, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
