@@ -40,7 +40,34 @@ def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once what was made of them is written itself."""
+    for table in tables:
+        _forget(table.sparkSession, table.written_at)
+
+
+#: Keys that a join broadcasts at most; more of them are shuffled.
+BROADCAST_KEYS = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs less the rows whose key is in gone (one column, `gone`), null keys too."""
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
+
+
+def one_a_key(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with one row for each key; only where keys are repeated are rows moved."""
+    again = written(docs.groupBy(F.col(key).alias("gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gone"), "keys-again")
+    if again.isEmpty():
+        return docs
+    few = docs.join(again, F.col(key).eqNullSafe(F.col("gone"))).drop("gone").dropDuplicates([key])
+    return without(docs, again, key).unionByName(few)
 
 
 def released(spark: SparkSession) -> None:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import mix64, n_words, written
+from trailmark.llm.common import WORD_GAP, mix64, n_words, written
 
 #: Words a block, weights by rank of the source, times a source may be taken.
 BLOCK_WORDS = 64
@@ -160,13 +160,34 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return met.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", "parts")
 
 
-def mixed_text(text, parts):
-    """Column: the taken words of a text. Copy c of the text has the parts taken c times or more, in order, words
-    joined by one space; copies follow each other on lines of their own."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def mixed_text(text: Column, parts: Column) -> Column:
+    """The taken words of a text. Copy c has the parts that are taken c times or more, in order: the text as it is if
+    those are all, else their words joined by one space. Copies follow each other on lines of their own."""
+    words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
-    def copy(c):
+    def copy(c: int) -> Column:
         chosen = F.filter(parts, lambda p: p["times"] >= c)
-        return F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(words, (p["piece_from"] + 1).cast("int"), (p["piece_to"] - p["piece_from"]).cast("int")))), " ")
-
-    return F.array_join(F.filter(F.array(*[copy(c) for c in range(1, MOST_TIMES + 1)]), lambda t: t != ""), "\n")
+        some = F.flatten(F.transform(chosen, lambda p: F.slice(words, (p["piece_from"] + 1).cast("int"), (p["piece_to"] - p["piece_from"]).cast("int"))))
+        last = F.element_at(parts, -1)["piece_to"]
+        taken = F.aggregate(chosen, F.lit(0).cast("long"), lambda a, p: a + p["piece_to"] - p["piece_from"])
+        return F.when(taken == n_words(text), text).when((taken > 0) & last.isNotNull(), F.array_join(some, " "))
+
+    return F.array_join(F.array(*[copy(c) for c in range(1, MOST_TIMES + 1)]), "\n")
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", seed: int = 0) -> DataFrame:
+    """docs, all columns, with the words that the mix takes as text (and their number of characters, if docs has that
+    column); texts of which nothing is taken go. Rows that share a key are told apart by source and size."""
+    taken = mix(docs, key, text, source, seed).filter("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "parts")
+    # Rows with the same key, source and size have the same place among those of their key on both sides.
+    own = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(source).alias("s"), n_words(F.col(text)).alias("z")).filter("z > 0")
+    join = F.col("k").eqNullSafe(F.col("k2")) & F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("i") == F.col("i2"))
+    same = Window.partitionBy("k", "s", "z").orderBy(F.xxhash64(f"row.{text}"))
+    taken = taken.withColumn("i", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy("parts"))).select(*[F.col(c).alias(f"{c}2") for c in ("k", "s", "z", "i")], "parts")
+    met = own.withColumn("i", F.row_number().over(same)).join(taken, join)
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    out[text] = mixed_text(F.col(f"row.`{text}`"), F.col("parts"))
+    if chars in out:
+        out[chars] = F.length(out[text]).cast(docs.schema[chars].dataType)
+    return met.select(*[c.alias(n) for n, c in out.items()])

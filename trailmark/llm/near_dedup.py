@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import discard, mix64, released, written
+from trailmark.llm.common import discard, mix64, one_a_key, released, without, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 15, 4
@@ -277,3 +277,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     out = out.join(roots.select(F.col("doc_id").alias("copy_of"), "root"), "copy_of", "left").withColumn("class_id", F.coalesce("root", "copy_of"))
     sizes = out.groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
     return out.join(sizes, F.col("class_id").eqNullSafe(F.col("c"))).select("doc_id", "class_id", "class_size", "copy_of")
+
+
+def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns, with one text of each class: the one with the smallest key."""
+    found = near_dedup(docs, key, text).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"))
+    return one_a_key(without(docs, written(found, "near-gone"), key), key)

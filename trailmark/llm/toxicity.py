@@ -153,14 +153,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     return found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, one row for each row of docs.
-
-    Labels of held-out keys (crc32 of the key modulo 5 is 0) are not read; nothing but a text's own words goes
-    into its score. Null and empty texts are scored as texts without words. Without labelled texts of both classes
-    every score is the label that all labelled texts have (0 without any). Rows repeated in full are scored
-    alike; an empty table gives an empty result.
-    """
+def scorer(docs: DataFrame, labels: DataFrame):
+    """A function of a text column that gives its scores."""
     known = sample(docs, labels)
     sizes = known.groupby("toxic").of_class.first()
     odds = sizes.get(1, 0) / sizes[0] if 0 in sizes else None
@@ -176,6 +170,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 z = np.array([features(distance, t) for t in texts] or np.zeros((0, len(model["weights"])))) @ model["weights"]
                 yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    scorer = F.pandas_udf(run, "double")
-    out = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), scorer(F.coalesce("text", F.lit(""))).alias("score"))
+    return F.pandas_udf(run, "double")
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns, less the texts that score as toxic."""
+    return docs.filter(scorer(docs, labels)(F.coalesce("text", F.lit(""))) < 0.5)
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, one row for each row of docs.
+
+    Labels of held-out keys (crc32 of the key modulo 5 is 0) are not read; nothing but a text's own words goes
+    into its score. Null and empty texts are scored as texts without words. Without labelled texts of both classes
+    every score is the label that all labelled texts have (0 without any). Rows repeated in full are scored
+    alike; an empty table gives an empty result.
+    """
+    scores = scorer(docs, labels)(F.coalesce("text", F.lit("")))
+    out = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), scores.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
