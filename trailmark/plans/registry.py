@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from trailmark.plans import stats
+
+MODULES = (stats,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: plan[0] for module in MODULES for name, plan in module.PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: plan[1] for module in MODULES for name, plan in module.PLANS.items() if plan[1]}
