@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import stats
+from trailmark.plans import behaviour, stats
 
-MODULES = (stats,)
+MODULES = (stats, behaviour)
 
 
 def queries() -> dict:
