@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, stats
+from trailmark.plans import behaviour, dlp, stats
 
-MODULES = (stats, behaviour)
+MODULES = (stats, behaviour, dlp)
 
 
 def queries() -> dict:
