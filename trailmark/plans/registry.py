@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, dlp, stats
+from trailmark.plans import behaviour, dlp, graph, stats
 
-MODULES = (stats, behaviour, dlp)
+MODULES = (stats, behaviour, dlp, graph)
 
 
 def queries() -> dict:
