@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, dlp, graph, stats
+from trailmark.plans import behaviour, deps, dlp, graph, stats
 
-MODULES = (stats, behaviour, dlp, graph)
+MODULES = (stats, behaviour, dlp, graph, deps)
 
 
 def queries() -> dict:
