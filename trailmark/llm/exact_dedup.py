@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import written
+from trailmark.llm.common import one_a_key, without, written
 
 #: Rows of one group that meet one copy of the stayer's text; larger groups get more copies of it.
 ROWS_A_COPY = 2000
+#: Bits of the filter on hits: at most FILTER_BITS / 64 rows of 16 bytes are broadcast, 4 MB.
+FILTER_BITS = 1 << 24
 
 
 def flush(entries: DataFrame) -> DataFrame:
@@ -34,6 +36,16 @@ def compact(runs: DataFrame, keep: str) -> DataFrame:
     return runs.groupBy("digest").agg(pick.alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 
+def with_filter(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows whose digest may be a hit. The filter is a bitmap of FILTER_BITS bits as a table of 64-bit words, so its
+    size is bounded whatever the number of hits; it spares the other rows, with their texts, the shuffle."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    bits = hits.select((place / 64).cast("long").alias("word"), (place % 64).cast("int").alias("at"))
+    bits = bits.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("bits"))
+    place = rows.withColumn("word", (place / 64).cast("long")).withColumn("at", (place % 64).cast("int"))
+    return place.join(F.broadcast(bits), "word").filter(F.call_function("getbit", F.col("bits"), F.col("at")) == 1).drop("word", "at", "bits")
+
+
 def look_up(runs: DataFrame, digest: str) -> DataFrame:
     """Identifiers of one digest; the filters of the runs are pushed down to the scan."""
     return runs.filter(F.col("digest") == digest).select("id")
@@ -53,7 +65,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: s
     hits = written(compact(runs, keep).filter("n > 1"), "digest-hits")
 
     salts = F.ceil(F.col("n") / F.lit(ROWS_A_COPY)).cast("int")
-    copies = rows.join(hits, "digest").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    copies = with_filter(rows, hits).join(hits, "digest").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     stayers = (
         copies.filter(F.col("id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest", "n").agg(F.min("text").alias("keep_text"))
@@ -62,8 +74,9 @@ def exact_dedup(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: s
     differs = copies.join(stayers, ["digest", "salt"]).filter("text != keep_text").select("id", "digest", "text")
     differs = written(differs, "digest-collisions")
 
+    entries = runs.dropDuplicates(["digest", "id"])
     if differs.isEmpty():
-        out = runs.join(hits, "digest", "left")
+        out = entries.join(hits, "digest", "left")
     else:
         # Texts that share a digest with another text: grouped by the text itself.
         alike = differs.groupBy("digest", "text").agg(
@@ -73,12 +86,18 @@ def exact_dedup(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: s
         fewer = alike.groupBy("digest").agg(F.sum("n").alias("away"))
         firsts = hits.join(fewer, "digest", "left").withColumn("n", F.col("n") - F.coalesce("away", F.lit(0))).drop("away")
         away = differs.select(F.col("digest").alias("d"), F.col("id").alias("i")).distinct()
-        rest = runs.join(away, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
+        rest = entries.join(away, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
         out = rest.join(firsts, "digest", "left").select("digest", "id", "keep_id", "n").unionByName(sub)
-    return out.dropDuplicates(["digest", "id"]).select(
+    return out.select(
         F.col("id").alias(key),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.col("digest"),
     )
+
+
+def kept_rows(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group of equal texts."""
+    found = written(exact_dedup(docs, keep, key, text).filter("not kept").select(F.col(key).alias("gone")), "exact-gone")
+    return one_a_key(without(docs, found, key), key)
