@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, deps, dlp, graph, stats
+from trailmark.plans import behaviour, deps, dlp, graph, stats, text
 
-MODULES = (stats, behaviour, dlp, graph, deps)
+MODULES = (stats, behaviour, dlp, graph, deps, text)
 
 
 def queries() -> dict:
