@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, deps, dlp, graph, stats, text
+from trailmark.plans import behaviour, ctx, deps, dlp, graph, stats, streaming, text
 
-MODULES = (stats, behaviour, dlp, graph, deps, text)
+MODULES = (stats, behaviour, dlp, graph, deps, text, ctx, streaming)
 
 
 def queries() -> dict:
