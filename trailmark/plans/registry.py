@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, ctx, deps, dlp, graph, stats, streaming, text
+from trailmark.plans import behaviour, commands, ctx, deps, dlp, graph, stats, streaming, text
 
-MODULES = (stats, behaviour, dlp, graph, deps, text, ctx, streaming)
+MODULES = (stats, behaviour, dlp, graph, deps, text, ctx, streaming, commands)
 
 
 def queries() -> dict:
