@@ -24,7 +24,7 @@ from trailmark.llm.common import remainder, written
 #: Words that are classes of their own, classes of other words, width of the embeddings.
 TOP_WORDS, OTHER_CLASSES, WIDTH = 1000, 64, 32
 #: Words whose counts every task holds; the counts of all others meet their words in a join.
-HELD_WORDS = 200_000
+HELD_WORDS = 60_000
 #: The bounded sample that the neural part is trained on.
 SAMPLE_TEXTS, SAMPLE_CHARS = 2500, 40_000
 EPOCHS, BATCH, NOISE = 3, 2048, 128
