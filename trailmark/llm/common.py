@@ -76,6 +76,15 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def hash_sample(df: DataFrame, size: int, *by: str) -> DataFrame:
+    """About `size` rows (all, if there are no more): those whose hash of `by` lies in the first part of its range. Every
+    task keeps its own share, so that no task and no driver sees more than the sample."""
+    n = df.count()
+    if n <= size:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(int((1 << 40) * size / n)))
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(WHITE))

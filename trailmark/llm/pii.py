@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm.common import hash_sample
+
 KINDS = ("email", "ip", "card", "phone")
 #: The base formats. Possessive repeats and starts only where a run starts (or the match before ended)
 #: find the same matches as the plain patterns, in time linear in the text and without recursion.
@@ -36,7 +38,7 @@ NEEDS = {"email": "[@]|[(\\[]at[)\\]]", "ip": "[0-9][.][0-9]|[0-9]\x20?[.]\x20?[
 CUES = "(?i)mail|tel|phone|call|fax|mobile|card|visa|pay|host|addr|server|contact"
 #: Characters looked at on each side of a candidate.
 CONTEXT = 24
-#: The bounded sample of texts whose candidates train the trees.
+#: The bounded sample of texts, taken by hash, whose candidates train the trees.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 4000, 20_000, 20_000
 TREES, RATE, LEAST_LEAF = 24, 0.3, 20
 #: The precision that added spans must reach on the candidates held back for calibration.
@@ -200,12 +202,13 @@ def train(rows: DataFrame) -> dict[str, tuple[list, float]]:
     """For each kind, trees and a threshold, from a bounded sample of texts. A candidate that shares characters with a
     base span of its kind is a positive one. A third of the candidates calibrates the threshold: the least score above
     which PRECISION of them are positive, and no known negative lies."""
-    sample = rows.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TEXTS)
+    sample = hash_sample(rows.filter(F.length("text") <= SAMPLE_CHARS), SAMPLE_TEXTS, "doc_id")
     per_kind = []
     for kind in KINDS:
         every = located(F.col("text"), WIDE[kind], lambda m: F.lit(True), NEEDS[kind])
         per_kind.append(F.slice(_marked(every, base_spans(F.col("text"), kind), kind), 1, 50).alias(kind))
-    found = sample.select(*per_kind).collect()  # bounded: SAMPLE_TEXTS rows of at most 50 candidates a kind
+    found = sample.select("doc_id", *per_kind).collect()  # bounded: about SAMPLE_TEXTS rows of at most 50 candidates a kind
+    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, str(r)))  # training does not depend on partitions
     out = {}
     for kind in KINDS:
         pairs = [c for r in found for c in r[kind]][:SAMPLE_CANDIDATES]
