@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import remainder, written
+from trailmark.llm.common import hash_sample, remainder, written
 
 #: Words that are classes of their own, classes of other words, width of the embeddings.
 TOP_WORDS, OTHER_CLASSES, WIDTH = 1000, 64, 32
@@ -60,6 +60,20 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The words with the highest counts, HELD_WORDS at most: those above a count that a histogram over eighths of powers
+    of two gives, so that tasks pass on only words that are held."""
+    words = counts.filter(F.length("word") > 0)
+    step = F.floor(F.log2("c") * 8)
+    held, least = 0, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):  # 512 rows at most
+        held += r.n
+        if held > HELD_WORDS:
+            least = r.step + 1
+            break
+    return words.filter(step >= least)
+
+
 def other_class(word: bytes) -> int:
     return zlib.crc32(word[:2]) % OTHER_CLASSES
 
@@ -140,7 +154,7 @@ def score(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFrame:
     counts = written(count_tokens(rows.filter(~F.col("held_out"))), "lm-counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     n_ends = int(counts.filter(F.col("word") == F.lit(bytearray(END))).agg(F.sum("c")).first()[0] or 0)
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(HELD_WORDS).toPandas()  # bounded
+    top = frequent(counts).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)  # HELD_WORDS at most
     top["word"] = top.word.map(bytes)
     size = min(TOP_WORDS, len(top)) + 1 + OTHER_CLASSES  # top words, the end, classes of other words
     end_class = min(TOP_WORDS, len(top))
@@ -161,8 +175,7 @@ def score(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFrame:
         return np.where(place >= 0, classes[np.maximum(place, 0)] if len(classes) else 0, end_class - place)
 
     sample = rows.filter(~F.col("held_out") & (F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS))
-    keys = sample.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
-    texts = sample.join(F.broadcast(keys), "doc_id").select("doc_id", "text").toPandas().sort_values(["doc_id", "text"]).text  # bounded
+    texts = hash_sample(sample.select("doc_id", "text"), SAMPLE_TEXTS, "doc_id").toPandas().sort_values(["doc_id", "text"]).text  # bounded
     sequences = [np.append(class_of(np.fromiter(map(places.__getitem__, t), np.int64, len(t))), end_class) for t in map(tokens, texts)]
     model = train(sequences, size)
     ln10 = math.log(10)

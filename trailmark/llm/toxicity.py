@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import remainder
+from trailmark.llm.common import hash_sample, remainder
 
 #: Bounds of the training sample: ordinary and toxic texts, and characters a training text may have.
 SAMPLE_TEXTS, SAMPLE_CHARS = (3000, 1500), 40_000
@@ -141,13 +141,12 @@ def train(texts: list[str], toxic: list[int], odds: float | None = None) -> dict
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """text, toxic, of_class (all labelled texts of that class): a bounded sample, the first by a hash of the key."""
+    """text, toxic, of_class (all labelled texts of that class): a bounded sample by a hash of the key."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (remainder(F.col("doc_id"), 5) != 0))
-    order = F.xxhash64("doc_id")
     keys = rows.select("doc_id").join(marks, "doc_id")
-    ordinary, toxic = (keys.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(SAMPLE_TEXTS[k]) for k in (0, 1))
-    found = rows.join(F.broadcast(ordinary.unionByName(toxic)), "doc_id").toPandas()  # no more keys than SAMPLE_TEXTS
+    ordinary, toxic = (hash_sample(keys.filter(F.col("toxic") == k), SAMPLE_TEXTS[k], "doc_id") for k in (0, 1))
+    found = rows.join(F.broadcast(ordinary.unionByName(toxic)), "doc_id").toPandas()  # about as many keys as SAMPLE_TEXTS
     counts = {int(r[0]): int(r[1]) for r in keys.groupBy("toxic").count().collect()}  # two rows
     found["of_class"] = found.toxic.map(counts)
     return found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
