@@ -156,5 +156,5 @@ def browse(spark: SparkSession, folder: str) -> DataFrame:
     ignored = "|".join(re.escape(x) for x in IGNORED_FOLDERS)
     rows = files.withColumn("p", path).withColumn("p", inner).filter(~F.lower("p").rlike(rf"(?:^|/)(?:{ignored}|\.[^/]*)/"))
     rows = rows.filter(F.lower("p").rlike(rf"\.(?:{'|'.join(TEXT_ENDS)})$") | F.lower("p").rlike("(?:^|/)(?:dockerfile|makefile|gemfile|rakefile|procfile)$"))
-    n = F.size(F.split(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\n$", ""), "\n"))
+    n = F.size(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\n$", ""), "\n"))
     return rows.select(F.col("p").alias("path"), F.when(F.length("content") == 0, 0).otherwise(n).alias("lines")).orderBy(F.desc("lines"), "path")
