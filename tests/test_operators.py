@@ -64,10 +64,10 @@ def test_symbols():
 
 
 def test_browse(spark, tmp_path):
-    for name, content in (("a.py", "1\n2\n"), ("sub/b.js", "1\n2\n3"), ("node_modules/c.js", "1"), (".git/d.py", "1"), ("e.bin", "1"), ("Makefile", "")):
+    for name, content in (("a.py", "1\n2\n"), ("sub/b.js", "1\n2\n3"), ("node_modules/c.js", "1"), (".git/d.py", "1"), ("e.bin", "1"), ("Makefile", "x")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(content)
-    assert [(r.path, r.lines) for r in symbols.browse(spark, str(tmp_path)).collect()] == [("sub/b.js", 3), ("a.py", 2), ("Makefile", 0)]
+    assert [(r.path, r.lines) for r in symbols.browse(spark, str(tmp_path)).collect()] == [("sub/b.js", 3), ("a.py", 2), ("Makefile", 1)]
 
 
 @pytest.mark.parametrize(("command", "output", "holds"), [

@@ -149,7 +149,7 @@ TEXT_ENDS = ("rs", "js", "ts", "tsx", "jsx", "py", "go", "java", "c", "h", "cpp"
 
 
 def browse(spark: SparkSession, folder: str) -> DataFrame:
-    """path, lines of the text files below a folder, longest first."""
+    """path, lines of the text files below a folder, longest first. Spark does not read empty files, so they are not listed."""
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder).select("path", "content")
     path = F.regexp_replace("path", "^file:/*", "/")
     inner = F.expr(f"substring(p, length('{folder.rstrip('/')}') + 2)")
@@ -157,4 +157,4 @@ def browse(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.withColumn("p", path).withColumn("p", inner).filter(~F.lower("p").rlike(rf"(?:^|/)(?:{ignored}|\.[^/]*)/"))
     rows = rows.filter(F.lower("p").rlike(rf"\.(?:{'|'.join(TEXT_ENDS)})$") | F.lower("p").rlike("(?:^|/)(?:dockerfile|makefile|gemfile|rakefile|procfile)$"))
     n = F.size(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\n$", ""), "\n"))
-    return rows.select(F.col("p").alias("path"), F.when(F.length("content") == 0, 0).otherwise(n).alias("lines")).orderBy(F.desc("lines"), "path")
+    return rows.select(F.col("p").alias("path"), n.alias("lines")).orderBy(F.desc("lines"), "path")
