@@ -90,7 +90,7 @@ def located(text: Column, pattern: str, keep, need: str) -> Column:
 
 
 def candidates(text: Column, kind: str, base: Column) -> Column:
-    """Spans of the kind's generator that share nothing with its base spans, with features."""
+    """Spans of the kind's generator that share nothing with base spans, with features."""
     found = located(text, WIDE[kind], lambda m: F.lit(True), NEEDS[kind])
     apart = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     return F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), features(text, c, kind).alias("x")))
@@ -188,9 +188,9 @@ def _marked(every: Column, base: Column, kind: str) -> Column:
     return F.transform(every, one)
 
 
-def _with_added(own: Column, kind: str, model: tuple[list, float]) -> Column:
+def _with_added(own: Column, covered: Column, kind: str, model: tuple[list, float]) -> Column:
     trees, cut = model
-    added = F.filter(candidates(F.col("text"), kind, own), lambda c: tree_expression(trees, c["x"]) >= F.lit(cut))
+    added = F.filter(candidates(F.col("text"), kind, covered), lambda c: tree_expression(trees, c["x"]) >= F.lit(cut))
     return F.array_sort(F.concat(own, F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop")))))
 
 
@@ -230,13 +230,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", models: dict
     """doc_id, base and spans, one row for each row of docs: arrays of (kind, start, stop), by kind, then start.
 
     Offsets count code points, stop exclusive. base holds the matches of the fixed formats that pass their checks; spans
-    also those that the trees add, which share no characters with the kind's base spans. Null texts count as empty and have
+    also those that the trees add, which share no characters with base spans. Null texts count as empty and have
     no spans; rows repeated in full are judged alike; an empty table gives an empty result.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     models = train(rows) if models is None else models
     rows = rows.withColumns({kind: base_spans(F.col("text"), kind) for kind in KINDS})
-    every = [_with_added(F.col(k), k, models[k]) if k in models else F.col(k) for k in KINDS]
+    covered = F.concat(*[F.col(k) for k in KINDS])
+    every = [_with_added(F.col(k), covered, k, models[k]) if k in models else F.col(k) for k in KINDS]
     base = F.concat(*[_named(F.col(k), k) for k in KINDS])
     return rows.select("doc_id", base.alias("base"), F.concat(*[_named(x, k) for k, x in zip(KINDS, every, strict=True)]).alias("spans"))
 
