@@ -31,7 +31,7 @@ WIDE = {
     "email": rf"(?<![{_RUN}])[{_RUN}]{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
     "ip": r"(?<![0-9.])[0-9]{1,4}+(?:\x20?[.]\x20?[0-9]{1,4}+){3,7}+",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?+[0-9]){12,18}+",
-    "phone": r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]\(?[0-9]{2,4}\)?){2,4}",
+    "phone": r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]\(?[0-9]{2,4}(?![0-9]|\.[0-9])\)?){2,4}",
 }
 #: What a text must hold for a kind to be looked for at all.
 NEEDS = {"email": "[@]|[(\\[]at[)\\]]", "ip": "[0-9][.][0-9]|[0-9]\x20?[.]\x20?[0-9]", "card": "[0-9]", "phone": "[0-9]"}
