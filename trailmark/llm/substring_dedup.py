@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import mix64, released, written
+from trailmark.llm.common import discard, mix64, released, written
 
 K, ANCHOR = 20, 8
 #: Copies whose keys are broadcast at most; beyond that the join shuffles.
@@ -154,14 +154,22 @@ def spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     anchors = written(anchor_runs(firsts), "substring-anchors")
     again = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     runs = written(anchors.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "substring-runs")
+    discard(anchors)
+    released(docs.sparkSession)
     found = written(edges(docs.join(runs, "doc_id")), "substring-edges")
+    discard(runs)
+    released(docs.sparkSession)
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(first, ["h1", "h2"]).filter((F.col("doc_id") > F.col("source.doc_id")) | (F.col("pos") > F.col("source.pos")))
     later = later.select("doc_id", "pos", F.col("source.doc_id").alias("source_id"), F.col("source.pos").alias("source_pos"))
     shift = F.col("pos") - F.col("source_pos")
     order = Window.partitionBy("doc_id", "source_id", "shift").orderBy("pos")
     path = later.withColumn("shift", shift).withColumn("path", F.col("pos") - F.row_number().over(order))
-    return path.groupBy("doc_id", "source_id", "shift", "path").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.min("source_pos").alias("source_start")).drop("shift", "path")
+    paths = path.groupBy("doc_id", "source_id", "shift", "path").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.min("source_pos").alias("source_start")).drop("shift", "path")
+    out = written(paths, "substring-spans")
+    discard(found)
+    released(docs.sparkSession)
+    return out
 
 
 def quoted(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -199,8 +207,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     keyed = rows.filter("doc_id is not null")
     copies = written(copies_of(keyed).distinct(), "substring-copies")
-    found = written(spans(keyed, copies), "substring-spans")
-    released(docs.sparkSession)
+    found = spans(keyed, copies)
     quotes = written(quoted(keyed, found), "substring-quotes")
     released(docs.sparkSession)
     marks = quotes.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "quote")).alias("spans"))
