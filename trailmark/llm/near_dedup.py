@@ -29,8 +29,8 @@ BANDS, ROWS = 15, 4
 IDF_SHARE = 0.25
 #: Cells of the document-frequency sketch; entries of each table of random variables.
 CELLS, DRAWS = 1 << 17, 1 << 16
-#: Texts of a bucket all pairs of which are candidates.
-FEW = 8
+#: Texts of a bucket all pairs of which are candidates; texts that one of a class is compared with in a larger bucket.
+FEW, REACH = 8, 6
 BROADCAST_KEYS = 200_000
 MOST_REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -163,9 +163,10 @@ def buckets(docs: DataFrame, weights) -> DataFrame:
     return out
 
 
-def pairs(members: DataFrame, turn: int) -> DataFrame:
+def pairs(members: DataFrame, turn: int, reach: int = 1) -> DataFrame:
     """a < b: candidates among the members of each bucket. The first text of a larger bucket and the order within it
-    come from a hash with the bucket and the turn, so that other buckets and turns compare other pairs."""
+    come from a hash with the bucket and the turn, so that other buckets and turns compare other pairs; reach: how many
+    texts before it in that order a text is compared with."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id")).alias("first")).filter("n > 1")
     joined = members.join(sizes, "bucket")
     few = joined.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("all"))
@@ -175,7 +176,8 @@ def pairs(members: DataFrame, turn: int) -> DataFrame:
     # The order within a bucket is cut into runs of about 64 texts by hash, so that no window holds a whole bucket.
     run = F.pmod(F.xxhash64("doc_id", F.lit(turn), F.col("bucket")), F.ceil(F.col("n") / 64).cast("int"))
     order = Window.partitionBy("bucket", "run").orderBy(F.xxhash64("doc_id", "bucket", F.lit(turn)), "doc_id")
-    chain = many.withColumn("run", run).withColumn("other", F.lag("doc_id").over(order)).filter("other is not null")
+    before = F.array_compact(F.array(*[F.lag("doc_id", k).over(order) for k in range(1, reach + 1)]))
+    chain = many.withColumn("run", run).withColumn("before", before).select("doc_id", F.explode("before").alias("other"))
     chain = chain.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a < b")
     return few.unionByName(star).unionByName(chain).distinct()
 
@@ -213,6 +215,18 @@ def components(links: DataFrame) -> DataFrame:
             return roots.select("doc_id", "root")
 
 
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots with the classes joined that the new links join. Only the graph of classes is walked again, not that of texts."""
+    every = roots.unionByName(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(roots, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("root")))
+    every = written(every, "near-roots")
+    a, b = (every.select(F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    between = found.select("a", "b").join(a, "a").join(b, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    between = components(between).select(F.col("doc_id").alias("root"), F.col("root").alias("new"))
+    out = written(every.join(between, "root", "left").select("doc_id", F.coalesce("new", "root").alias("root")), "near-roots")
+    discard(every)
+    return out
+
+
 def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between different texts and the roots of their components."""
     cells, texts = sketch(docs), docs.count()
@@ -245,15 +259,17 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 a, b = (roots.select(F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
                 edges = pairs(members, 0).join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
             else:
-                edges = pairs(one.select("bucket", "x.doc_id"), turn)
+                edges = pairs(one.select("bucket", "x.doc_id"), turn, REACH)
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = written(edges, "near-edges")
         found = written(verified(edges, sets, weights), "near-found")
         any_new = not found.isEmpty()
         tested = edges if tested is None else tested.unionByName(edges)
         links = found if links is None else links.unionByName(found)
-        if any_new or roots is None:
-            roots = components(links)
+        if roots is None:
+            roots = components(found)
+        elif any_new:
+            roots = merged(roots, found)
         released(spark)
         if turn >= 1 and not any_new:
             return links, roots
