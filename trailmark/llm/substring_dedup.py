@@ -117,7 +117,7 @@ def anchor_runs(docs: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, pos of the windows in each text's `runs`."""
+    """h1, h2, doc_id, pos of the windows in each text's `runs`; h1 and h2 are 96 bits of independent hashes."""
 
     def run(batches):
         hashes = Hashes()
@@ -133,10 +133,10 @@ def edges(docs: DataFrame) -> DataFrame:
                     rows.append(np.full(len(pos), i))
                 rows, places = np.concatenate(rows), np.concatenate(places)
                 at_all = ends[rows] + places
-                yield pa.record_batch([pa.array(h1[at_all].view(np.int64)), pa.array(h2[at_all].view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(places.astype(np.int32))], ["h1", "h2", "doc_id", "pos"])
+                yield pa.record_batch([pa.array(h1[at_all].view(np.int64)), pa.array((h2[at_all] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(rows)), pa.array(places.astype(np.int32))], ["h1", "h2", "doc_id", "pos"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "runs").mapInArrow(run, f"h1 long, h2 long, doc_id {key}, pos int")
+    return docs.select("doc_id", "text", "runs").mapInArrow(run, f"h1 long, h2 int, doc_id {key}, pos int")
 
 
 def copies_of(docs: DataFrame) -> DataFrame:
@@ -162,12 +162,15 @@ def spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(first, ["h1", "h2"]).filter((F.col("doc_id") > F.col("source.doc_id")) | (F.col("pos") > F.col("source.pos")))
     later = later.select("doc_id", "pos", F.col("source.doc_id").alias("source_id"), F.col("source.pos").alias("source_pos"))
+    later = written(later, "substring-later")
+    discard(found)
+    released(docs.sparkSession)
     shift = F.col("pos") - F.col("source_pos")
     order = Window.partitionBy("doc_id", "source_id", "shift").orderBy("pos")
     path = later.withColumn("shift", shift).withColumn("path", F.col("pos") - F.row_number().over(order))
     paths = path.groupBy("doc_id", "source_id", "shift", "path").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.min("source_pos").alias("source_start")).drop("shift", "path")
     out = written(paths, "substring-spans")
-    discard(found)
+    discard(later)
     released(docs.sparkSession)
     return out
 
