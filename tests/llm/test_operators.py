@@ -429,6 +429,23 @@ def test_near_dedup_large_group_and_edges(spark):
     assert near_dedup(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_one_large_bucket_is_exact(spark, monkeypatch):
+    """All texts share one bucket only; every pair of alike texts in it is found, through any member of a class."""
+    from trailmark.llm import near_dedup as nd
+
+    rows = {}
+    for i in range(60):
+        w = prose(7000 + i, 60 + i % 50).split()
+        for k in range(1 + i % 3):  # the second and third are linked to the one before only
+            rows[10 * i + k] = " ".join(w)
+            w = w[3:] + prose(8000 + 10 * i + k, 3).split()
+    rows |= {900: " ".join(["a b c d e f"] * 30), 901: " ".join(["a b c d e f"] * 33)}
+    monkeypatch.setattr(nd, "buckets", lambda docs, weights: docs.select(F.lit(1).cast("long").alias("bucket"), "doc_id"))
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(docs(spark, [(i, t, "s") for i, t in rows.items()])).collect()}
+    want = brute_classes(rows) | {901: 900}  # repeats count, brute_classes has sets
+    assert len(set(want.values())) == 61 and got == want
+
+
 def test_samples_agree_as_often_as_sets():
     from trailmark.llm.near_dedup import Sampler
 

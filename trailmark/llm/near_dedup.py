@@ -5,10 +5,12 @@ document frequency. Improved consistent weighted sampling draws (shingle, level)
 the probability of their weighted Jaccard similarity; bands of samples make buckets of candidates. Every link is
 verified by the exact weighted Jaccard similarity of the two texts, and classes are the connected components of the links.
 
-Equal texts are one text throughout. In a bucket of few texts all pairs are candidates; in a larger one each text
-meets the bucket's first text and the text before it, in an order of the bucket's own, and rounds go on with one text for
-each class until no bucket links classes any more. Document frequencies come from a sketch of fixed size that
-all texts are counted into, less what other shingles in a cell are expected to add.
+Equal texts are one text throughout. In a bucket each text first meets the bucket's first text and the text before it,
+in an order of the bucket's own; that joins most classes. What is left is exact: texts of buckets that still hold more
+than one class meet by their rarest shingles. Two texts of similarity SIMILARITY share one of the rarest shingles that
+make up the first part of their weight (prefix filter), so every pair of two classes that can reach SIMILARITY is
+verified, whatever the size of its bucket. Document frequencies come from a sketch of fixed size that all texts are
+counted into, less what other shingles in a cell are expected to add.
 
 The inverse document frequency is damped (it moves weights by IDF_SHARE at most) because near copies raise each other's
 document frequencies: with full weight, the few shingles that differ would outweigh those that a large group shares.
@@ -29,8 +31,8 @@ BANDS, ROWS = 15, 4
 IDF_SHARE = 0.25
 #: Cells of the document-frequency sketch; entries of each table of random variables.
 CELLS, DRAWS = 1 << 17, 1 << 16
-#: Texts of a bucket all pairs of which are candidates; texts that one of a class is compared with in a larger bucket.
-FEW, REACH = 8, 6
+#: Room for rounding in the bounds of the prefix filter, as a share of a text's weight; elements of an Arrow batch.
+SLACK, ELEMENTS = 1e-5, 50_000
 BROADCAST_KEYS = 200_000
 MOST_REMEMBERED = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -163,23 +165,72 @@ def buckets(docs: DataFrame, weights) -> DataFrame:
     return out
 
 
-def pairs(members: DataFrame, turn: int, reach: int = 1) -> DataFrame:
-    """a < b: candidates among the members of each bucket. The first text of a larger bucket and the order within it
-    come from a hash with the bucket and the turn, so that other buckets and turns compare other pairs; reach: how many
-    texts before it in that order a text is compared with."""
+def pairs(members: DataFrame, turn: int) -> DataFrame:
+    """a < b: each member of a bucket with the bucket's first text and with the text before it. The first text and the order
+    come from a hash with the bucket and the turn, so that other buckets and turns compare other pairs."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id")).alias("first")).filter("n > 1")
     joined = members.join(sizes, "bucket")
-    few = joined.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("all"))
-    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a < b")
-    many = joined.filter(F.col("n") > FEW)
-    star = many.select(F.least("doc_id", "first.doc_id").alias("a"), F.greatest("doc_id", "first.doc_id").alias("b")).filter("a < b")
+    star = joined.select(F.least("doc_id", "first.doc_id").alias("a"), F.greatest("doc_id", "first.doc_id").alias("b")).filter("a < b")
     # The order within a bucket is cut into runs of about 64 texts by hash, so that no window holds a whole bucket.
     run = F.pmod(F.xxhash64("doc_id", F.lit(turn), F.col("bucket")), F.ceil(F.col("n") / 64).cast("int"))
     order = Window.partitionBy("bucket", "run").orderBy(F.xxhash64("doc_id", "bucket", F.lit(turn)), "doc_id")
-    before = F.array_compact(F.array(*[F.lag("doc_id", k).over(order) for k in range(1, reach + 1)]))
-    chain = many.withColumn("run", run).withColumn("before", before).select("doc_id", F.explode("before").alias("other"))
+    chain = joined.filter("n > 2").withColumn("run", run).withColumn("other", F.lag("doc_id").over(order)).filter("other is not null")
     chain = chain.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a < b")
-    return few.unionByName(star).unionByName(chain).distinct()
+    return star.unionByName(chain).distinct()
+
+
+def rarest(each: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray, float]:
+    """The elements of a text that the prefix filter needs, rarest first, with the weight from each of them on, and the
+    weight of the text. each: shingles with repeats; the repeats of a shingle are elements of their own."""
+    x, n = np.unique(each, return_counts=True)
+    element, weight = np.repeat(x, n), np.repeat(weights(x, np.ones_like(n)), n).astype(np.float64)
+    nth = np.arange(len(element)) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        element = np.where(nth == 0, element, mix64(element + nth.astype(np.uint64) * _BASE))
+    order = np.lexsort((element, -weight))
+    element, weight = element[order], weight[order]
+    size = float(weight.sum())
+    rest = size - (np.cumsum(weight) - weight)
+    some = rest >= (SIMILARITY - SLACK) * size
+    return element[some], rest[some], size
+
+
+def by_rarest(texts: DataFrame, weights) -> DataFrame:
+    """a < b: all pairs of texts of different classes that can reach SIMILARITY. texts: doc_id, root, shingles.
+
+    Of weights A >= B, a similarity of t takes a shared weight of t / (1 + t) * (A + B), which is t * A and 2 t / (1 + t) * B
+    at least. From the rarest shared element on, both texts must have that much weight left: it lies in the first part of
+    either, a shorter one for the lighter text."""
+    key, share = texts.schema["doc_id"].dataType.simpleString(), SIMILARITY / (1 + SIMILARITY)
+
+    def run(batches):
+        for batch in batches:
+            held, n = [], 0
+            for i, each in enumerate(batch.column(2)):
+                element, rest, size = rarest(np.frombuffer(each.as_py(), np.uint64), weights.value)
+                held.append((i, element, rest, size))
+                n += len(element)
+                if n >= ELEMENTS or i == batch.num_rows - 1:
+                    times = [len(h[1]) for h in held]
+                    at = pa.array(np.repeat([h[0] for h in held], times))
+                    rest, size = np.concatenate([h[2] for h in held]), np.repeat([h[3] for h in held], times)
+                    element = pa.array(np.concatenate([h[1] for h in held]).view(np.int64))
+                    short = pa.array(rest >= (2 * share - SLACK) * size)
+                    yield pa.record_batch([element, batch.column(0).take(at), batch.column(1).take(at), pa.array(size), pa.array(rest), short], ["element", "doc_id", "root", "size", "rest", "short"])
+                    held, n = [], 0
+
+    every = written(texts.select("doc_id", "root", "shingles").mapInArrow(run, f"element long, doc_id {key}, root {key}, size double, rest double, short boolean"), "near-rarest")
+    shared = every.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("short").alias("any")).filter("any and low != high").select("element")
+    some = written(every.join(shared, "element"), "near-shared")
+    discard(every)
+    x, y = some.filter("short").alias("x"), some.alias("y")
+    lighter = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    both = F.col("x.size") + F.col("y.size")
+    enough = F.least("x.rest", "y.rest") >= F.lit(share - SLACK) * both
+    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.root") != F.col("y.root")) & lighter & enough)
+    out = written(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "near-met")
+    discard(some)
+    return out
 
 
 def verified(edges: DataFrame, sets: DataFrame, weights) -> DataFrame:
@@ -244,36 +295,38 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = docs.schema["doc_id"].dataType.simpleString()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     sets = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, f"doc_id {key}, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
-    links = tested = roots = None
-    turn = 0
-    while True:
-        if roots is None:
-            edges = pairs(members, turn)
-            # First one candidate for each text: most others then lie within one class.
-            edges = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            root = F.coalesce("root", "doc_id")
-            by_class = members.join(roots, "doc_id", "left").withColumn("root", root)
-            one = by_class.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("x"))
-            if turn == 1:  # all candidates of the first turn that do not lie within one class
-                a, b = (roots.select(F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-                edges = pairs(members, 0).join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            else:
-                edges = pairs(one.select("bucket", "x.doc_id"), turn, REACH)
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = written(edges, "near-edges")
+    # First one candidate for each text: most others then lie within one class.
+    first = written(pairs(members, 0), "near-pairs")
+    tested = written(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-edges")
+    links = written(verified(tested, sets, weights), "near-found")
+    roots = components(links)
+    released(spark)
+
+    def apart(edges: DataFrame) -> DataFrame:
+        a, b = (roots.select(F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        return edges.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+    def by_class() -> DataFrame:
+        return members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+    def representatives() -> DataFrame:
+        one = by_class().groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(2)).alias("h"), "doc_id")).alias("x"))
+        return pairs(one.select("bucket", "x.doc_id"), 2)
+
+    def rest() -> DataFrame:
+        """All that the rounds before have left open: texts in buckets of more than one class."""
+        mixed = by_class().groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+        texts = by_class().join(mixed, "bucket").select("doc_id", "root").distinct()
+        return by_rarest(texts.join(sets, "doc_id"), weights)
+
+    for candidates in (lambda: apart(first), representatives, rest):
+        edges = written(candidates().join(tested, ["a", "b"], "left_anti"), "near-edges")
         found = written(verified(edges, sets, weights), "near-found")
-        any_new = not found.isEmpty()
-        tested = edges if tested is None else tested.unionByName(edges)
-        links = found if links is None else links.unionByName(found)
-        if roots is None:
-            roots = components(found)
-        elif any_new:
+        tested, links = tested.unionByName(edges), links.unionByName(found)
+        if not found.isEmpty():
             roots = merged(roots, found)
         released(spark)
-        if turn >= 1 and not any_new:
-            return links, roots
-        turn += 1
+    return links, roots
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
