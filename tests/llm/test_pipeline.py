@@ -46,6 +46,22 @@ def test_stages(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_dedup_stages_judge_rows_not_keys(spark):
+    """Rows without a key, or of one key, keep their own texts; copies go row by row."""
+    from trailmark.llm import exact_dedup, near_dedup
+
+    a, b, c, d, e = (prose(9100 + i, 60) for i in range(5))
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (None, c, "s"), (2, d, "s"), (7, d, "s"), (7, e, "s"), (7, e, "s"), (8, None, "s"), (7, "", "s")]
+    rows += [(9, d + " more", "s"), (None, e + " more", "s")]
+    kept = exact_dedup.kept_rows(docs(spark, rows))
+    exact = {(1, a), (None, b), (None, c), (2, d), (7, e), (7, ""), (9, d + " more"), (None, e + " more")}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs(spark, []).columns and set(got) == exact and len(got) == len(exact)
+    got = [(r.doc_id, r.text) for r in near_dedup.kept_rows(docs(spark, rows)).collect()]
+    near = exact - {(9, d + " more"), (None, e + " more")}
+    assert set(got) == near and len(got) == len(near)
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -61,12 +61,24 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
 
 
-def one_a_key(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with one row for each key; only where keys are repeated are rows moved."""
-    again = written(docs.groupBy(F.col(key).alias("gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gone"), "keys-again")
-    if again.isEmpty():
-        return docs
-    few = docs.join(again, F.col(key).eqNullSafe(F.col("gone"))).drop("gone").dropDuplicates([key])
+def repeated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys (one column, `gone`) that do not tell rows apart: those of several rows, and null."""
+    return written(docs.groupBy(F.col(key).alias("gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or gone is null").select("gone"), "keys-again")
+
+
+def row_key(key: Column, digest: Column) -> Column:
+    """What tells rows apart where keys do not: key and digest of the text. Null keys come last."""
+    return F.struct(key.isNull().alias("missing"), key.alias("key"), digest.alias("digest"))
+
+
+def text_digest(text: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def one_a_row(docs: DataFrame, again: DataFrame, row: str, key: str = "doc_id") -> DataFrame:
+    """docs with one row for each value of the column `row`; only rows whose key is in again are moved."""
+    few = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    few = docs.join(few, F.col(key).eqNullSafe(F.col("gone"))).drop("gone").dropDuplicates([row])
     return without(docs, again, key).unionByName(few)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import one_a_key, without, written
+from trailmark.llm.common import one_a_row, repeated, row_key, text_digest, without, written
 
 #: Rows of one group that meet one copy of the stayer's text; larger groups get more copies of it.
 ROWS_A_COPY = 2000
@@ -98,6 +98,11 @@ def exact_dedup(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: s
 
 
 def kept_rows(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each group of equal texts."""
-    found = written(exact_dedup(docs, keep, key, text).filter("not kept").select(F.col(key).alias("gone")), "exact-gone")
-    return one_a_key(without(docs, found, key), key)
+    """docs, all columns, with one row of each group of equal texts. Rows are judged by key and text, so rows of one key (or
+    without a key) that have different texts stay or go each by itself."""
+    found, again = exact_dedup(docs, keep, key, text).filter("not kept"), repeated(docs, key)
+    if again.isEmpty():
+        return without(docs, written(found.select(F.col(key).alias("gone")), "exact-gone"), key)
+    found = written(found.select(row_key(F.col(key), F.col("digest")).alias("gone")), "exact-gone")
+    rows = docs.withColumn("_row", row_key(F.col(key), text_digest(text)))
+    return one_a_row(without(rows, found, "_row"), again, "_row", key).drop("_row")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import discard, mix64, one_a_key, released, without, written
+from trailmark.llm.common import discard, mix64, one_a_row, released, repeated, row_key, text_digest, without, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 15, 4
@@ -349,6 +349,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with one text of each class: the one with the smallest key."""
-    found = near_dedup(docs, key, text).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"))
-    return one_a_key(without(docs, written(found, "near-gone"), key), key)
+    """docs, all columns, with one text of each class: the one with the smallest key. Where keys repeat or are null, rows are
+    judged by key and text, null keys last; rows that are equal in both are one row."""
+    again = repeated(docs, key)
+    plain = again.isEmpty()
+    rows = docs if plain else docs.withColumn("_row", row_key(F.col(key), text_digest(text)))
+    row = key if plain else "_row"
+    found = near_dedup(rows, row, text).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"))
+    left = without(rows, written(found, "near-gone"), row)
+    return left if plain else one_a_row(left, again, row, key).drop(row)
