@@ -228,9 +228,8 @@ def test_pack(spark, corpus):
     from trailmark.llm.packing import pack
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = collected(corpus) | {100: ("<|endoftext|> a  b \n\n c\u00a0d'll 12 — ü\u0301 \x85x", "s0"), 101: (" lead and trail ", "s0"), 102: ("a\nb c\n d", "s1")}
-    got = pack(docs(spark, [(i, t, s) for i, (t, s) in rows.items()]), P.path("byte_bpe_50k.tiktoken")).collect()
+    got = pack(docs(spark, [(i, t, s) for i, (t, s) in rows.items()]), P.path("byte_bpe_50k.json")).collect()
     by, sequences = {}, {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
@@ -250,7 +249,7 @@ def test_pack(spark, corpus):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    assert pack(docs(spark, []), P.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert pack(docs(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_cuts_cover_and_fill():
