@@ -284,10 +284,23 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
     rows = docs(spark, [(1, "a", "x"), (1, "a", "x"), (2, "a", "x"), (None, "b", "x"), (3, None, "x"), (4, "", "x")]).withColumn("digest", F.lit(0)).withColumn("keep_id", F.lit(0))
     assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(rows).collect()} == {(1, 1, 3), (2, 1, 3), (None, None, 1), (3, 3, 2), (4, 3, 2)}
+    assert exact_dedup(rows).count() == rows.count() == 6  # one row for each row, repeated ones too
     kept = kept_rows(rows)
     assert kept.columns == rows.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
 
 
+def test_levels_and_large_groups(spark, monkeypatch):
+    """Several levels of compaction, groups in several parts, and a filter that lets everything pass give the same result."""
+    from trailmark.llm import exact_dedup as ed
+
+    rows = docs(spark, [(i, f"t{i % 40 if i % 3 else 0}", "s") for i in range(900)] + [(None, "t0", "s"), (1000, "alone", "s")]).repartition(20)
+    plain = sorted(map(tuple, ed.exact_dedup(rows).collect()), key=str)
+    for name, value in (("FAN", 2), ("ROWS_A_COPY", 7), ("LARGE", 1000), ("LEAST_BITS", 64), ("MOST_BITS", 64)):
+        monkeypatch.setattr(ed, name, value)
+    assert sorted(map(tuple, ed.exact_dedup(rows).collect()), key=str) == plain and len(plain) == 902
+    assert {r[2] for r in plain if r[4] == hashlib.sha256(b"t0").hexdigest()} == {sum(i % 3 == 0 or i % 40 == 0 for i in range(900)) + 1}
+
+
 def test_runs_answer_look_ups(spark, corpus):
     from trailmark.llm.exact_dedup import flush, look_up
 
