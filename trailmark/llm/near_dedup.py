@@ -283,8 +283,7 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells, texts = sketch(docs), docs.count()
     weights = spark.sparkContext.broadcast(Weights(cells, texts))
     members = buckets(docs, weights)
-    wanted = members.select("doc_id").distinct()
-    wanted = written(wanted, "near-wanted")
+    wanted = written(members.select("doc_id").distinct(), "near-wanted")
 
     def run(batches):
         hashes = Hashes()
@@ -293,8 +292,8 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    sets = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, f"doc_id {key}, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    sets = written(docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(run, f"doc_id {key}, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
     # First one candidate for each text: most others then lie within one class.
     first = written(pairs(members, 0), "near-pairs")
     tested = written(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-edges")
@@ -326,6 +325,8 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not found.isEmpty():
             roots = merged(roots, found)
         released(spark)
+    discard(sets, members, wanted, first)
+    weights.destroy()
     return links, roots
 
 
