@@ -389,6 +389,39 @@ def test_pii_added_spans_keep_base(spark):
     assert ("email", 15, 38) in [tuple(x) for x in got.spans] and ("email", 5, 11) in [tuple(x) for x in got.spans]
 
 
+def test_pii_trained_trees_add_wider_forms(spark):
+    from trailmark.llm.pii import find, train
+
+    def card(rng):
+        d = [4] + [rng.randrange(10) for _ in range(14)]
+        total = sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(d))
+        return "".join(map(str, [*d, -total % 10]))
+
+    rng, rows = random.Random(1), []
+    for i in range(300):
+        rows.append((i, f"{prose(i, 6)} u{i}.x@mail{i % 9}.example.com {prose(i, 4)} card: {card(rng)} on +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} at {rng.randrange(1, 255)}.{rng.randrange(255)}.{rng.randrange(255)}.7 {prose(i, 5)}", "s"))
+    good = card(rng)
+    wrong = good[:-1] + str((int(good[-1]) + 1) % 10)
+    planted = f"ask bob [at] host [dot] org or {'.'.join(good[i:i + 4] for i in range(0, 16, 4))} or 00{1} (555) 123-4567 now"
+    clean = f"due 2024-01-15, version 999.1.2.3.4.5, code a{good}0b, card {wrong[:4]}.{wrong[4:8]}.{wrong[8:12]}.{wrong[12:]} end"
+    table = docs(spark, rows)
+    models = train(table.select("doc_id", "text"))
+    assert set(models) == {"email", "ip", "card", "phone"}
+    got = {r.doc_id: [(x.kind, (planted if r.doc_id == 1 else clean)[x.start : x.stop]) for x in r.spans] for r in find(docs(spark, [(1, planted, "s"), (2, clean, "s")]), models=models).collect()}
+    assert ("email", "bob [at] host [dot] org") in got[1] and {"card", "phone"} <= {k for k, _ in got[1]}
+    assert got[2] == []
+
+
+def test_pii_places_are_linear_in_matches(spark):
+    from trailmark.llm.pii import find
+
+    text = " ".join(f"a{i}@b.cd 1.2.3.{i % 300}" for i in range(3000))
+    row = find(docs(spark, [(1, text, "s")]), models={}).first()
+    emails = [x for x in row.base if x.kind == "email"]
+    assert len(emails) == 3000 and all(text[x.start : x.stop].endswith("@b.cd") for x in emails)
+    assert all(a.stop <= b.start for a, b in zip(emails, emails[1:]))
+
+
 # --- 8: near-duplicates -----------------------------------------------------------------------------------------------
 
 

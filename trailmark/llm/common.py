@@ -46,9 +46,10 @@ def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once what was made of them is written itself."""
+    """Deletes tables that written() made, once what was made of them is written itself; other tables are left alone."""
     for table in tables:
-        _forget(table.sparkSession, table.written_at)
+        if hasattr(table, "written_at"):
+            _forget(table.sparkSession, table.written_at)
 
 
 #: Keys that a join broadcasts at most; more of them are shuffled.

@@ -2,19 +2,22 @@
 
 Every kind has a fixed format with a check (the base). Beside it, generators with high recall propose spans, which
 may overlap; features of their format and context go to boosted trees, and spans whose score reaches the calibrated
-threshold are added. The trees are trained in numpy on the candidates of a bounded sample and evaluated as
-expressions, so that no text leaves the JVM.
+threshold are added. The trees are trained in numpy and evaluated as expressions, so that no text leaves the JVM. What they
+learn from does not equate "no base span" with "no personal data": positive examples are base spans rewritten to the wider
+forms of the generators (their checks still hold), negative ones are the same forms with failing checks, dates made of
+their digits, forms inside longer words, and what the generators propose in the corpus beside base spans.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import hash_sample
+from trailmark.llm.common import discard, hash_sample, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base formats. Possessive repeats and starts only where a run starts (or the match before ended)
@@ -38,8 +41,10 @@ NEEDS = {"email": "[@]|[(\\[]at[)\\]]", "ip": "[0-9][.][0-9]|[0-9]\x20?[.]\x20?[
 CUES = "(?i)mail|tel|phone|call|fax|mobile|card|visa|pay|host|addr|server|contact"
 #: Characters looked at on each side of a candidate.
 CONTEXT = 24
-#: The bounded sample of texts, taken by hash, whose candidates train the trees.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 4000, 20_000, 20_000
+#: The bounded sample of texts, and of examples of each kind in them, both drawn by hash, that train the trees.
+SAMPLE_TEXTS, SAMPLE_CANDIDATES = 4000, 20_000
+#: Spans that are put away together.
+BLOCK = 128
 TREES, RATE, LEAST_LEAF = 24, 0.3, 20
 #: The precision that added spans must reach on the candidates held back for calibration.
 PRECISION = 0.98
@@ -71,29 +76,62 @@ def base_spans(text: Column, kind: str) -> Column:
     return located(text, BASE[kind], lambda m: passes(kind, m), NEEDS[kind])
 
 
+def _push(state: Column, item: Column, at: Column) -> Column:
+    """state (at, block, full) with item added. Full blocks are put away, so that a text of many spans does not copy all
+    of them for each one."""
+    one = F.array(item)
+    filled = F.size(state["block"]) >= BLOCK
+    block = F.when(filled, one).otherwise(F.concat(state["block"], one))
+    full = F.when(filled, F.concat(state["full"], F.array(state["block"]))).otherwise(state["full"])
+    return F.struct(at.alias("at"), block.alias("block"), full.alias("full"))
+
+
+def _empty(at: Column) -> Column:
+    return F.struct(at.alias("at"), F.array().cast(EMPTY).alias("block"), F.array().cast(f"array<{EMPTY}>").alias("full"))
+
+
+def _all_of(state: Column) -> Column:
+    return F.concat(F.flatten(state["full"]), state["block"])
+
+
 def located(text: Column, pattern: str, keep, need: str) -> Column:
-    """start and stop (code points, stop exclusive) of the matches that keep() is true for.
+    """start and stop (code points, stop exclusive) of the matches that keep() is true for, in order.
+
+    The matches and the text between them, both in order, give the places: no match is looked for again."""
+    holds = text.rlike(need)
+    gaps = F.transform(F.when(holds, F.split(text, pattern, -1)), F.length)
+    pieces = F.arrays_zip(gaps.alias("gap"), F.when(holds, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("m"))
+    pieces = F.filter(pieces, lambda p: p["m"].isNotNull())
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + p["gap"]
+        stop = start + F.length(p["m"])
+        span = F.struct(start.alias("start"), stop.alias("stop"))
+        return F.when(keep(p["m"]), _push(a, span, stop)).otherwise(F.struct(stop.alias("at"), a["block"].alias("block"), a["full"].alias("full")))
+
+    return F.coalesce(F.aggregate(pieces, _empty(F.lit(0)), step, _all_of), F.array().cast(EMPTY))
 
-    Matches come from one pass; each is then found again from the end of the one before. The first place where its
-    characters occur is its own: the pattern would have matched there before."""
-    matches = F.when(text.rlike(need), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(EMPTY).alias("found"))
 
-    def step(a: Column, m: Column) -> Column:
-        def placed(p: Column) -> Column:
-            span = F.struct((p - 1).alias("start"), (p - 1 + F.length(m)).alias("stop"))
-            return F.struct((p + F.length(m)).alias("at"), F.when(keep(m), F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+def apart(found: Column, base: Column) -> Column:
+    """Spans of found that share no characters with base spans; found in order and without overlaps. One sweep over both, by start."""
 
-        return F.element_at(F.transform(F.array(F.call_function("locate", m, text, a["at"])), placed), 1)
+    def tagged(spans: Column, own: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(own).alias("own")))
 
-    return F.coalesce(F.aggregate(matches, start, step)["found"], F.array().cast(EMPTY))
+    every = F.array_sort(F.concat(tagged(found, True), tagged(base, False)))
+    reach = F.aggregate(every, _empty(F.lit(0)), lambda a, s: F.when(s["own"] & (s["start"] >= a["at"]), _push(a, F.struct(s["start"].alias("start"), s["stop"].alias("stop")), a["at"])).otherwise(
+        F.struct(F.when(s["own"], a["at"]).otherwise(F.greatest(a["at"], s["stop"])).alias("at"), a["block"].alias("block"), a["full"].alias("full"))), _all_of)
+    # What begins after the base spans before it must also end before the next one: the same sweep from the end.
+    back = F.reverse(F.array_sort(F.concat(F.transform(reach, lambda s: F.struct(s["stop"].alias("stop"), s["start"].alias("start"), F.lit(True).alias("own"))), F.transform(base, lambda s: F.struct(s["stop"].alias("stop"), s["start"].alias("start"), F.lit(False).alias("own"))))))
+    left = F.aggregate(back, _empty(F.lit(2**31 - 1)), lambda a, s: F.when(s["own"] & (s["stop"] <= a["at"]), _push(a, F.struct(s["start"].alias("start"), s["stop"].alias("stop")), a["at"])).otherwise(
+        F.struct(F.when(s["own"], a["at"]).otherwise(F.least(a["at"], s["start"])).alias("at"), a["block"].alias("block"), a["full"].alias("full"))), _all_of)
+    return F.reverse(left)
 
 
 def candidates(text: Column, kind: str, base: Column) -> Column:
     """Spans of the kind's generator that share nothing with base spans, with features."""
-    found = located(text, WIDE[kind], lambda m: F.lit(True), NEEDS[kind])
-    apart = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    return F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), features(text, c, kind).alias("x")))
+    found = apart(located(text, WIDE[kind], lambda m: F.lit(True), NEEDS[kind]), base)
+    return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), features(text, c, kind).alias("x")))
 
 
 FEATURES = ("chars", "digits", "letters", "groups", "spaces", "dots", "dashes", "plus", "paren", "at", "sum_ok", "octets_ok", "cue", "joined_before", "joined_after")
@@ -178,14 +216,44 @@ def tree_expression(trees: list, x: Column) -> Column:
     return reduce(lambda a, t: a + F.when(at(t[0], t[1]), side(t[2])).otherwise(side(t[3])), trees[1:], F.lit(trees[0]))
 
 
-def _marked(every: Column, base: Column, kind: str) -> Column:
-    """Candidates as features and whether they share characters with a base span."""
+def widened(kind: str, m: Column) -> list[Column]:
+    """The base span m in forms that only the generators know: known personal data, and so positive examples."""
+    number = digits(m)
+    return {
+        "email": [F.regexp_replace(F.regexp_replace(m, r"\.(?=[^@]*$)", " [dot] "), "@", " [at] "), F.regexp_replace(m, "@", "(at)"), F.regexp_replace(m, "@", " @ ")],
+        "ip": [F.regexp_replace(m, "[.]", " . "), F.regexp_replace(m, "[.]", ". ")],
+        "card": [F.regexp_replace(number, "(.{4})(?=.)", "$1."), number],
+        "phone": [F.regexp_replace(m, "^[+]", "00"), F.regexp_replace(m, r"^[+][0-9]+[\x20.-]+", ""), F.concat(F.substring(number, -10, 3), F.lit("-"), F.substring(number, -7, 3), F.lit("-"), F.substring(number, -4, 4))],
+    }[kind]
 
-    def one(c: Column) -> Column:
-        hit = F.exists(base, lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
-        return F.struct(features(F.col("text"), c, kind).alias("x"), hit.alias("y"))
 
-    return F.transform(every, one)
+def spoilt(kind: str, m: Column) -> list[Column]:
+    """m changed so that it is no personal data of its kind: octets too great or too many, checksums that fail, dates."""
+    number = digits(m)
+    wrong = F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((F.substring(number, -1, 1).cast("int") + 1) % 10).cast("string"))
+    return {
+        "email": [],
+        "ip": [F.concat(F.lit("9"), F.lpad(F.split(m, "[.]")[0], 3, "9"), F.lit("."), F.split(m, "[.]")[1], F.lit("."), F.split(m, "[.]")[2], F.lit("."), F.split(m, "[.]")[3]), F.concat(m, F.lit(".1.2"))],
+        "card": [wrong, F.regexp_replace(wrong, "(.{4})(?=.)", "$1.")],
+        "phone": [F.concat(F.substring(number, 1, 4), F.lit("-"), F.substring(number, 5, 2), F.lit("-"), F.substring(number, 7, 2)), F.concat(F.substring(number, 1, 2), F.lit("/"), F.substring(number, 3, 2), F.lit("/"), F.substring(number, 5, 4))],
+    }[kind]
+
+
+def examples(rows: DataFrame, kind: str) -> DataFrame:
+    """x, y of the kind: base spans in wider forms between their neighbours (1); the same spoilt, or inside a longer word, and
+    what the generator proposes beside base spans (0)."""
+    text, base = F.col("text"), F.col("base")
+    before = lambda s: F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
+    spans = rows.select("text", "doc_id", F.explode("base").alias("s"))
+    spans = spans.select("doc_id", F.col("s.start").alias("start"), before(F.col("s")).alias("before"), F.substring(text, F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("m"), F.substring(text, F.col("s.stop") + 1, F.lit(1)).alias("after"))
+    forms = [(F.col("before"), w, F.col("after"), 1.0) for w in widened(kind, F.col("m"))]
+    forms += [(F.col("before"), w, F.col("after"), 0.0) for w in spoilt(kind, F.col("m"))]
+    forms += [(F.concat("before", F.lit("x")), w, F.lit("0b"), 0.0) for w in widened(kind, F.col("m"))]
+    made = F.array(*[F.struct(F.concat(b, w, a).alias("text"), F.length(b).alias("start"), (F.length(b) + F.length(w)).alias("stop"), F.lit(y).alias("y")) for b, w, a, y in forms])
+    made = spans.select("doc_id", "start", F.posexplode(made).alias("form", "e")).select("doc_id", "start", "form", F.col("e.text").alias("text"), F.struct("e.start", "e.stop").alias("c"), F.col("e.y").alias("y"))
+    made = made.select("doc_id", "start", "form", features(text, F.col("c"), kind).alias("x"), "y")
+    other = rows.select("doc_id", "text", F.explode(candidates(text, kind, base)).alias("c")).select("doc_id", F.col("c.start").alias("start"), F.lit(-1).alias("form"), F.col("c.x").alias("x"), F.lit(0.0).alias("y"))
+    return made.unionByName(other)
 
 
 def _with_added(own: Column, covered: Column, kind: str, model: tuple[list, float]) -> Column:
@@ -199,30 +267,28 @@ def _named(spans: Column, kind: str) -> Column:
 
 
 def train(rows: DataFrame) -> dict[str, tuple[list, float]]:
-    """For each kind, trees and a threshold, from a bounded sample of texts. A candidate that shares characters with a
-    base span of its kind is a positive one. A third of the candidates calibrates the threshold: the least score above
-    which PRECISION of them are positive, and no known negative lies."""
-    sample = hash_sample(rows.filter(F.length("text") <= SAMPLE_CHARS), SAMPLE_TEXTS, "doc_id")
-    per_kind = []
-    for kind in KINDS:
-        every = located(F.col("text"), WIDE[kind], lambda m: F.lit(True), NEEDS[kind])
-        per_kind.append(F.slice(_marked(every, base_spans(F.col("text"), kind), kind), 1, 50).alias(kind))
-    found = sample.select("doc_id", *per_kind).collect()  # bounded: about SAMPLE_TEXTS rows of at most 50 candidates a kind
-    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, str(r)))  # training does not depend on partitions
+    """For each kind, trees and a threshold, from the examples of a bounded sample of texts, drawn by hash. A third of the
+    examples calibrates the threshold: the least score above which PRECISION of them are positive."""
+    sample = hash_sample(rows, SAMPLE_TEXTS, "doc_id")
     out = {}
     for kind in KINDS:
-        pairs = [c for r in found for c in r[kind]][:SAMPLE_CANDIDATES]
-        x, y = np.array([c.x for c in pairs], float), np.array([c.y for c in pairs], float)
-        trial = np.arange(len(y)) % 3 == 0
+        every = sample.filter(F.col("text").rlike(NEEDS[kind])).withColumn("base", base_spans(F.col("text"), kind))
+        every = written(examples(every, kind), "pii-examples")
+        found = hash_sample(every, SAMPLE_CANDIDATES, "doc_id", "start", "form").collect()  # about SAMPLE_CANDIDATES rows
+        discard(every)
+        found.sort(key=lambda r: (r.doc_id is None, str(r.doc_id), r.start, r.form, r.x))  # training does not depend on partitions
+        x, y = np.array([r.x for r in found], float), np.array([r.y for r in found], float)
+        trial = np.array([zlib.crc32(f"{r.doc_id}:{r.start}".encode()) % 3 == 0 for r in found], bool)
         if len(y) < 60 or not 0 < y[~trial].sum() < (~trial).sum() or not 0 < y[trial].sum() < trial.sum():
-            continue  # nothing to tell apart: only base spans
+            continue  # the corpus has no base spans of this kind to learn from
         trees = boost(x[~trial], y[~trial])
         s = tree_score(trees, x[trial])
         order = np.argsort(-s, kind="stable")
         precise = np.cumsum(y[trial][order]) / np.arange(1, trial.sum() + 1)
-        good = np.flatnonzero(precise >= PRECISION)
+        # Of equal scores all pass or none: only the last of them counts.
+        good = np.flatnonzero((precise >= PRECISION) & (np.diff(s[order], append=-np.inf) < 0))
         if len(good):
-            out[kind] = (trees, max(float(s[order][good[-1]]), float(s[y[trial] == 0].max()) + 1e-9))
+            out[kind] = (trees, float(s[order][good[-1]]))
     return out
 
 

@@ -29,7 +29,7 @@ from trailmark.llm.common import discard, hash_sample, remainder, written
 #: Bounds of the training sample: ordinary and toxic texts (whole ones, drawn by hash), and windows that each dictionary learns from.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = (3000, 1500), 40_000
 #: Words of a window, and from one window to the next.
-WINDOW, STEP = 4, 3
+WINDOW, STEP = 5, 4
 #: What every window begins with, and what ends a word in a segment.
 LEAD, CLOSE = bytes(range(1, 33)), b"\x00"
 #: Bytes of a segment, of the toxic and of the ordinary dictionary, and of the parts that the trainer picks.
@@ -62,7 +62,7 @@ class Distance:
     @staticmethod
     def _compressor(content: bytes):
         params = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=6, hash_log=13, chain_log=14, window_log=15, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0
+            strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, search_log=4, hash_log=12, chain_log=13, window_log=15, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
