@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers, wherever they run."""
+"""Makes this package importable in Python workers, wherever they run, and keeps their batches small."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: whole texts are long, and a batch stands in the memory of the JVM and of the worker at once.
+BATCH_ROWS, _ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to all workers of the session's application, once."""
+    """Sends the package to all workers of the session's application, once. Arrow batches get BATCH_ROWS rows where the session
+    has Spark's default of 10 000."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
