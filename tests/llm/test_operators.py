@@ -228,8 +228,14 @@ def test_pack(spark, corpus):
     from trailmark.llm.packing import pack
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in ("see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b c"):
+        from trailmark.llm.packing import Chunks, ids_of
+
+        for ranks in (None, P.path("byte_bpe_50k.tiktoken")):
+            got = np.frombuffer(ids_of(text, Chunks(P.path("byte_bpe_50k.json"), ranks), lambda t: None), "<u4").tolist()
+            assert got == tokenizer.encode(text, add_special_tokens=False).ids and 50256 in got
     rows = collected(corpus) | {100: ("<|endoftext|> a  b \n\n c\u00a0d'll 12 — ü\u0301 \x85x", "s0"), 101: (" lead and trail ", "s0"), 102: ("a\nb c\n d", "s1")}
-    got = pack(docs(spark, [(i, t, s) for i, (t, s) in rows.items()]), P.path("byte_bpe_50k.json")).collect()
+    got = pack(docs(spark, [(i, t, s) for i, (t, s) in rows.items()]), P.path("byte_bpe_50k.json"), ranks_path=P.path("byte_bpe_50k.tiktoken")).collect()
     by, sequences = {}, {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)

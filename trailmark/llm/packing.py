@@ -27,30 +27,47 @@ PART_ROWS = 4000
 
 
 class Chunks(dict):
-    """The ids, as little-endian bytes, of a space and a chunk of text; of chunks that begin a line, of the chunk."""
+    """The ids, as little-endian bytes, of a space and a chunk of text; of chunks that begin a line, of the chunk.
 
-    def __init__(self, path: str):
+    Whole texts are encoded by the tokenizer of tokenizer_path. Chunks, which hold no added token, are encoded from the ranks of the
+    same vocabulary where ranks_path names them: the ids are the same, and new chunks cost a third."""
+
+    def __init__(self, tokenizer_path: str, ranks_path: str | None):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         #: Strings that the tokenizer takes for one token wherever they stand in a text.
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.encode = self._ranked(ranks_path) if ranks_path else self._whole
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _ranked(path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def of(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self._whole(text), dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MOST_REMEMBERED:
             self.clear()
-        ids = self[chunk] = self.of(chunk if chunk[0] == "\n" else " " + chunk)
+        ids = self[chunk] = np.array(self.encode(chunk if chunk[:1] == "\n" else " " + chunk), dtype="<u4").tobytes()
         return ids
 
 
 @lru_cache(maxsize=1)
-def chunks_of(path: str) -> Chunks:
-    """What a worker remembers of the tokenizer at path, from one task to the next."""
-    return Chunks(path)
+def chunks_of(tokenizer_path: str, ranks_path: str | None) -> Chunks:
+    """What a worker remembers of a tokenizer, from one task to the next."""
+    return Chunks(tokenizer_path, ranks_path)
 
 
 def ids_of(text: str, chunks: Chunks, plain) -> bytes:
@@ -76,14 +93,14 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [*out, (at, n - at)] if n > at else out
 
 
-def cut_texts(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+def cut_texts(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, end_id: int, capacity: int) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece of every text."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import re
 
-        chunks, end = chunks_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        chunks, end = chunks_of(tokenizer_path, ranks_path), np.array([end_id], "<u4").tobytes()
         # White space but for single spaces and line ends within the text; then no chunk is cut off from a space it needs.
         plain = re.compile(r"\s\s|^\s|\s$|[^\S \n]|[\x1c-\x1f\x85᠎]").search
         for batch in batches:
@@ -120,14 +137,14 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null texts count as empty and have the end id alone. Rows repeated in full are texts of their own. Keys may be
     null. Sequence numbers are unique, not gapless. An empty table gives an empty result. capacity: a power of two.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    made = written(cut_texts(rows, tokenizer_path, end_id, capacity), "pack-pieces").withColumn("class", F.floor(F.lit(capacity) / F.col("length")))
+    made = written(cut_texts(rows, tokenizer_path, ranks_path, end_id, capacity), "pack-pieces").withColumn("class", F.floor(F.lit(capacity) / F.col("length")))
     parts = max(16, made.count() // PART_ROWS)
     made = made.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
     counts = written(made.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n")), "pack-counts")

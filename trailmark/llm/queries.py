@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
 
     from trailmark.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path=None if tokenizer_path else public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
