@@ -99,7 +99,7 @@ def test_summaries_must_be_shorter():
 
 def test_search_keeps_by_root():
     for n, k in ((100, 10), (1000, 30)):
-        out = shrink.search("\n".join(f"f{i % 40}.py:{i}:x{i}" for i in range(n)))
+        out = shrink.search("\n".join(f"f{i % 12}.py:{i}:x{i}" for i in range(n)))
         assert len(out.splitlines()) - 1 == k
     assert shrink.search("a:1:x\nb:2:y") is None
 

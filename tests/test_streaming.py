@@ -64,3 +64,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys()
     for i in want:
         assert got[i].asDict() == want[i].asDict()
+
+
+def test_late_events_are_not_dropped(spark, tmp_path):
+    events = [event(1, 0, "request", correlation="a"), event(2, 600, "request", correlation="b"), event(3, 10, "request", correlation="c")]
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for part, e in enumerate(events):
+        (source / f"{part}.json").write_text(json.dumps(e | {"ts": e["ts"].isoformat()}) + "\n")
+        query = upsert.write_upserts(upsert.stream(upsert.hook_source(spark, str(source))), str(target), str(tmp_path / "ck"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert {r.id for r in spark.read.parquet(str(target)).collect()} == set(run(spark, events)) == {1, 2, 3}

@@ -129,5 +129,5 @@ def with_cache(rows: DataFrame, text: str, cache: DataFrame) -> DataFrame:
 
 def exported(rows: DataFrame) -> DataFrame:
     """Bodies as JSON values where they are JSON, else as strings: what a JSONL export writes."""
-    body = F.coalesce(F.to_json(F.try_parse_json("request_body")), F.to_json(F.try_parse_json(F.to_json(F.array("request_body")))))
+    body = F.coalesce(F.to_json(F.try_parse_json("request_body")), F.regexp_extract(F.to_json(F.array("request_body")), r"(?s)^\[(.*)\]$", 1))
     return rows.withColumn("request_body", body)

@@ -32,22 +32,24 @@ def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
 
     Relative sources are candidates with each ending, matched on the normal path. Other sources match the end of a path:
     every file offers all ends of its path, so that too is an equi-join. Earlier endings win, then smaller paths."""
-    edges = edges.dropDuplicates(["from_file", "source"])
-    relative = edges.filter(F.col("source").startswith("."))
+    edges = edges.dropDuplicates(["from_file", "source"]).withColumn("folder", folder(F.col("from_file")))
+    # What a relative source means depends on the folder alone, what another one means on the source alone: each is tried once.
+    relative = edges.filter(F.col("source").startswith(".")).select("folder", "source").distinct()
     ends = F.posexplode(F.array(*[F.lit(e) for e in RELATIVE_ENDS]))
-    tries = relative.select("from_file", "source", ends.alias("rank", "end"))
-    tries = tries.withColumn("path", normal(F.concat(folder(F.col("from_file")), F.lit("/"), F.regexp_replace("source", r"^(\./)+", ""), F.col("end"))))
+    bare = normal(F.concat("folder", F.lit("/"), F.regexp_replace("source", r"^(\./)+", "")))
+    tries = relative.withColumn("bare", bare).select("folder", "source", "bare", ends.alias("rank", "end")).withColumn("path", F.concat("bare", "end"))
     hits = tries.join(files.select("path", normal(F.col("path")).alias("normal")).withColumnRenamed("path", "to_file"), F.col("path") == F.col("normal"))
-    first = hits.groupBy("from_file", "source").agg(F.min_by("to_file", F.struct("rank", "to_file")).alias("to_file"))
-    rest = edges.join(first.select("from_file", "source"), ["from_file", "source"], "left_anti")
+    first = hits.groupBy("folder", "source").agg(F.min_by("to_file", F.struct("rank", "to_file")).alias("first"))
+    known = edges.join(first, ["folder", "source"], "left")
+    rest = known.filter("first is null").select("source").distinct()
     ends = F.posexplode(F.array(*[F.lit(e) for e in SUFFIX_ENDS]))
-    tries = rest.withColumn("bare", F.replace(F.col("source"), F.lit("::"), F.lit("/"))).filter("bare != ''").select("from_file", "source", "bare", ends.alias("rank", "end")).withColumn("tail", F.concat("bare", "end"))
-    # A source may begin within a segment, so all ends of a path are offered, not only those after a slash.
-    lengths = F.explode(F.sequence(F.lit(1), F.length("path")))
-    tails = files.select("path", lengths.alias("n")).select(F.col("path").alias("to_file"), F.right("path", F.col("n")).alias("tail"))
-    second = tries.join(tails, "tail").groupBy("from_file", "source").agg(F.min_by("to_file", F.struct("rank", "to_file")).alias("to_file"))
-    found = first.unionByName(second)
-    return edges.join(found, ["from_file", "source"], "left").select("from_file", "source", F.coalesce("to_file", F.lit("")).alias("to_file"))
+    tries = rest.withColumn("bare", F.replace(F.col("source"), F.lit("::"), F.lit("/"))).filter("bare != ''").select("source", "bare", ends.alias("rank", "end")).withColumn("tail", F.concat("bare", "end"))
+    # A source may begin within a segment, so ends of a path are offered wherever they begin, but only of lengths that sources have.
+    lengths = tries.agg(F.collect_set(F.length("tail")).alias("lengths"))  # one row
+    offered = F.explode(F.filter("lengths", lambda n: n <= F.length("path")))
+    tails = files.select("path").join(F.broadcast(lengths), how="cross").select("path", offered.alias("n")).select(F.col("path").alias("to_file"), F.right("path", F.col("n")).alias("tail"))
+    second = tries.join(tails, "tail").groupBy("source").agg(F.min_by("to_file", F.struct("rank", "to_file")).alias("second"))
+    return known.join(second, "source", "left").select("from_file", "source", F.coalesce("first", "second", F.lit("")).alias("to_file"))
 
 
 def fan_in(edges: DataFrame, least: int = 3) -> DataFrame:

@@ -77,11 +77,16 @@ def page(rows: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
 
 
 def summaries(rows: DataFrame) -> DataFrame:
-    """The log's columns; names and reasons come from the metadata, null where it is not JSON."""
-    meta = F.col("extra_metadata")
-    decision = F.get_json_object(meta, "$.decision")
-    reason = F.coalesce(F.get_json_object(meta, "$.guardian_reason"), F.get_json_object(meta, "$.reason"), F.get_json_object(meta, "$.message"), F.when(decision.isNotNull(), F.concat(F.lit("Decision: "), decision)))
-    name = F.coalesce(F.get_json_object(meta, "$.tool_name"), F.get_json_object(meta, "$.toolName"), F.get_json_object(meta, "$.name"))
+    """The log's columns; names come from the metadata or the request, reasons from the response, null where these are not JSON."""
+    request, response = F.col("request_body"), F.col("response_body")
+    decision = F.get_json_object(response, "$.decision")
+    reason = F.coalesce(
+        F.get_json_object(response, "$.hookSpecificOutput.permissionDecisionReason"),
+        F.get_json_object(response, "$.hook_specific_output.permission_decision_reason"),
+        F.get_json_object(response, "$.reason"),
+        F.concat(F.lit("Decision: "), decision),
+    )
+    name = F.coalesce(F.get_json_object("extra_metadata", "$.tool_name"), F.get_json_object(request, "$.tool_name"), F.get_json_object(request, "$.toolName"))
     return rows.select("id", "timestamp", "backend", F.coalesce("model", F.lit("unknown")).alias("model"), name.alias("tool_name"), reason.alias("guardian_reason"), F.round(F.coalesce(F.try_divide(F.col("tokens_saved") * 100, F.col("input_tokens")), F.lit(0.0)), 1).alias("reduction_pct"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,27 +62,28 @@ def grep_groups(rows: DataFrame, key: str, text: str, shown: int = 5, width: int
     return m.groupBy(key, "file").agg(F.count(F.lit(1)).alias("n"), kept.alias("content"))
 
 
-#: Lines that matter in search results, most important first, and those that look like definitions.
-PRIORITIES = (r"(?i)\b(?:error|fatal|panic|exception|fail(?:ed|ure)?)\b", r"(?i)\b(?:warn(?:ing)?|deprecated)\b", r"(?i)\b(?:todo|fixme|hack|xxx)\b", r"(?i)\b(?:import|require|use|include)\b")
-DEFINITION = r"(?i)\b(?:fn|def|class|struct|enum|trait|interface|function|const|type)\s+\w+"
+#: Lines that matter in search results, most important first, and what definitions hold.
+PRIORITIES = (r"(?i)\berror\b", r"(?i)\bfail(ed|ure|ing)?\b", r"(?i)\bwarn(ing)?\b", r"(?i)\bpanic\b", r"(?i)\bexception\b", r"(?i)\btimeout\b")
+DEFINITIONS = ("fn ", "def ", "class ", "struct ", "impl ", "function ")
 
 
 def search_best(rows: DataFrame, key: str, text: str, most_files: int = 15, a_file: int = 5, least: int = 30) -> DataFrame:
     """key, file, number, content, score: the best of many search results.
 
     A line scores by its priority, as a definition and for not being blank. Files come by the sum of their scores; of n
-    matches max(5, min(30, ceil(sqrt(n)))) are kept, at most five a file, where the first and last match of a file go before the rest."""
+    matches in the first 15 files max(5, min(30, ceil(sqrt(n)))) are kept, at most five a file, where the first and last match of a file go before the rest."""
     m = grep_lines(rows, key, text).filter("number is not null")
     score = F.lit(0.0)
     for i, pattern in reversed(list(enumerate(PRIORITIES))):
         score = F.when(F.col("content").rlike(pattern), F.lit(0.5 - 0.05 * i)).otherwise(score)
-    score = F.least(score + F.when(F.col("content").rlike(DEFINITION), 0.3).otherwise(0.0) + F.when(F.col("content") != "", 0.1).otherwise(0.0), F.lit(1.0))
+    defines = reduce(lambda a, b: a | b, (F.lower("content").contains(x) for x in DEFINITIONS))
+    score = F.least(score + F.when(defines, 0.3).otherwise(0.0) + F.when(F.col("content").rlike(r"\S"), 0.1).otherwise(0.0), F.lit(1.0))
     own, whole = Window.partitionBy(key, "file"), Window.partitionBy(key)
     m = m.withColumn("score", F.round(score, 4))
     m = m.withColumns({"total": F.sum("score").over(own), "n": F.count(F.lit(1)).over(whole), "edge": F.when((F.col("pos") == F.min("pos").over(own)) | (F.col("pos") == F.max("pos").over(own)), 1).otherwise(0)}).filter(F.col("n") > least)
     m = m.withColumns({"file_place": F.dense_rank().over(whole.orderBy(F.desc(F.round("total", 6)), "file")), "place": F.row_number().over(own.orderBy(F.desc("edge"), F.desc("score"), "pos"))})
-    m = m.filter((F.col("file_place") <= most_files) & (F.col("place") <= a_file))
-    budget = F.least(F.greatest(F.ceil(F.sqrt("n")), F.lit(5)), F.lit(30))
+    m = m.withColumn("among", F.count_if(F.col("file_place") <= most_files).over(whole)).filter((F.col("file_place") <= most_files) & (F.col("place") <= a_file))
+    budget = F.least(F.greatest(F.ceil(F.sqrt("among")), F.lit(5)), F.lit(30))
     kept = m.withColumn("rank", F.row_number().over(whole.orderBy("file_place", "place"))).filter(F.col("rank") <= budget)
     return kept.select(key, "file", "number", "content", "score")
 

@@ -64,7 +64,7 @@ PLANS = {
         "SELECT doc_id, text FROM documents",
     ),
     "ctx4_differences": (
-        lambda s, d: table(s, d, "documents").filter("doc_id < 200").select("doc_id", ctx.differences(F.concat(F.lit("first\n"), F.substring("lang", 1, 2)), F.concat(F.lit("first\nsecond\n"), F.substring("lang", 1, 2))).alias("diff")),
-        "SELECT doc_id, '+2: second' || chr(10) || '∂ +1/-0 lines' AS diff FROM documents WHERE doc_id < 200",
+        lambda s, d: table(s, d, "documents").select("doc_id", ctx.differences(F.concat(F.lit("first\n"), F.col("text")), F.concat(F.lit("first\nsecond\n"), F.col("text"))).alias("diff")),
+        "SELECT doc_id, '+2: second' || chr(10) || '∂ +1/-0 lines' AS diff FROM documents",
     ),
 }

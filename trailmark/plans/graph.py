@@ -9,12 +9,12 @@ from trailmark.sources.adapters import table
 
 
 def files(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 400")
+    p = table(spark, sf_dir, "part")
     return p.select(F.concat(F.lit("src/m"), (F.col("p_partkey") % 7).cast("string"), F.lit("/k"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise(".js")).alias("path"), (F.col("p_partkey") * 13).alias("lines"))
 
 
 def imports(spark, sf_dir):
-    i = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000").select((F.col("l_partkey") % 400 + 1).alias("a"), (F.col("l_suppkey") * 3 % 400 + 1).alias("b"))
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 3).alias("b"))
     name = F.concat(F.lit("m"), (F.col("b") % 7).cast("string"), F.lit("/k"), F.col("b").cast("string"))
     source = F.when(F.col("b") % 3 == 0, F.concat(F.lit("../"), name)).when(F.col("b") % 3 == 1, F.concat(F.lit("src::"), F.replace(name, F.lit("/"), F.lit("::")))).otherwise("os")
     path = F.concat(F.lit("src/m"), (F.col("a") % 7).cast("string"), F.lit("/k"), F.col("a").cast("string"), F.when(F.col("a") % 2 == 0, ".py").otherwise(".js"))
@@ -25,10 +25,10 @@ def edges(spark, sf_dir):
     return g.resolve(imports(spark, sf_dir), files(spark, sf_dir))
 
 
-VIEWS = """files AS (SELECT 'src/m' || (p_partkey % 7) || '/k' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.js' END AS path, p_partkey * 13 AS lines FROM part WHERE p_partkey <= 400),
+VIEWS = """files AS (SELECT 'src/m' || (p_partkey % 7) || '/k' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.js' END AS path, p_partkey * 13 AS lines FROM part),
 imports AS (SELECT DISTINCT 'src/m' || (a % 7) || '/k' || a || CASE WHEN a % 2 = 0 THEN '.py' ELSE '.js' END AS from_file,
   CASE b % 3 WHEN 0 THEN '../m' || (b % 7) || '/k' || b WHEN 1 THEN 'src::m' || (b % 7) || '::k' || b ELSE 'os' END AS source
-  FROM (SELECT l_partkey % 400 + 1 AS a, l_suppkey * 3 % 400 + 1 AS b FROM lineitem WHERE l_orderkey <= 2000)),
+  FROM (SELECT l_partkey AS a, l_suppkey * 3 AS b FROM lineitem)),
 edges AS (SELECT from_file, source, coalesce((SELECT min(path) FROM files f WHERE regexp_replace(f.path, '\\.(py|js)$', '') = CASE WHEN source LIKE '../%' THEN 'src/' || substr(source, 4) ELSE replace(source, '::', '/') END), '') AS to_file FROM imports)"""
 
 PLANS = {

@@ -36,9 +36,12 @@ _MODELS = "(SELECT event_id, CASE WHEN k % 3 = 0 THEN 'opus-4-' || (k % 2) ELSE
 
 def guardian_reasons(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
-    meta = F.when(k % 4 == 0, F.lit('{"decision":"deny"}')).when(k % 4 == 1, F.lit('{"reason":"why","decision":"ask"}')).when(k % 4 == 2, F.lit("not json"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.lit("b").alias("backend"), F.lit(None).cast("string").alias("model"), meta.alias("extra_metadata"), F.lit(1).alias("tokens_saved"), F.lit(0).alias("input_tokens"))
-    return stats.summaries(rows).select("id", "model", "guardian_reason", "reduction_pct")
+    response = F.when(k % 5 == 0, F.lit('{"decision":"deny"}')).when(k % 5 == 1, F.lit('{"reason":"why","decision":"ask"}')).when(k % 5 == 2, F.lit("not json"))
+    response = response.when(k % 5 == 3, F.lit('{"reason":"later","hookSpecificOutput":{"permissionDecisionReason":"hook"}}')).otherwise(F.lit('{"hook_specific_output":{"permission_decision_reason":"snake"}}'))
+    request = F.when(k % 3 == 0, F.lit('{"toolName":"T"}')).when(k % 3 == 1, F.lit('{"toolName":"T","tool_name":"U"}')).otherwise(F.lit("plain"))
+    meta = F.when(k % 4 == 0, F.lit('{"tool_name":"M"}'))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.lit("b").alias("backend"), F.lit(None).cast("string").alias("model"), meta.alias("extra_metadata"), request.alias("request_body"), response.alias("response_body"), F.lit(1).alias("tokens_saved"), F.lit(0).alias("input_tokens"))
+    return stats.summaries(rows).select("id", "model", "tool_name", "guardian_reason", "reduction_pct")
 
 
 def detections_by_backend(spark, sf_dir):
@@ -65,7 +68,7 @@ PLANS = {
     ),
     "prj2_guardian_reasons": (
         guardian_reasons,
-        "SELECT event_id AS id, 'unknown' AS model, CASE k % 4 WHEN 0 THEN 'Decision: deny' WHEN 1 THEN 'why' END AS guardian_reason, 0.0 AS reduction_pct FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
+        "SELECT event_id AS id, 'unknown' AS model, CASE WHEN k % 4 = 0 THEN 'M' WHEN k % 3 = 0 THEN 'T' WHEN k % 3 = 1 THEN 'U' END AS tool_name, CASE k % 5 WHEN 0 THEN 'Decision: deny' WHEN 1 THEN 'why' WHEN 3 THEN 'hook' WHEN 4 THEN 'snake' END AS guardian_reason, 0.0 AS reduction_pct FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     ),
     "jon2_detections_by_backend": (
         detections_by_backend,
@@ -87,7 +90,7 @@ PLANS = {
         lambda s, d: ctx.seeded(table(s, d, "part").select(F.col("p_name").alias("name"), "p_partkey"), table(s, d, "part").filter("p_partkey % 5 = 0").select(F.col("p_name").alias("name"), F.lit(False).alias("enabled")).dropDuplicates(["name"])),
         "SELECT p_name AS name, p_partkey, p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 5 = 0) AS enabled FROM part",
     ),
-    "snk6_export": (exports, f"WITH {REQUESTS} SELECT id, CASE WHEN id % 2 = 0 THEN replace(request_body, ' ', '') ELSE '[\"plain text\"]' END AS request_body FROM requests"),
+    "snk6_export": (exports, f"WITH {REQUESTS} SELECT id, CASE WHEN id % 2 = 0 THEN replace(request_body, ' ', '') ELSE '\"plain text\"' END AS request_body FROM requests"),
     "wins_2_3_first_last": (
         lambda s, d: requests(s, d).filter(filters.prompts()).groupBy("session_id").agg(F.min_by("backend", F.struct("timestamp", "id")).alias("backend"), F.min_by("id", F.struct("timestamp", "id")).alias("first_id"), F.max_by("id", F.struct("timestamp", "id")).alias("last_id")),
         f'WITH {REQUESTS} SELECT session_id, arg_min(backend, "timestamp") AS backend, arg_min(id, "timestamp") AS first_id, arg_max(id, "timestamp") AS last_id FROM requests WHERE endpoint_name = \'AgentPrompt\' GROUP BY 1',

@@ -10,13 +10,13 @@ from trailmark.sources.adapters import table
 
 def logs(spark, sf_dir):
     """Event streams of users as captured logs with repeated lines."""
-    e = table(spark, sf_dir, "events").filter("user_id <= 60")
+    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     line = F.concat(F.lit("[2024-01-01 00:00:00] "), F.when(k % 4 < 3, F.col("event_type")).otherwise(F.lit("request failed: error")))
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-_LOGS = """ev AS (SELECT user_id, event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 < 3 THEN event_type ELSE 'request failed: error' END AS line FROM events WHERE user_id <= 60),
+_LOGS = """ev AS (SELECT user_id, event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 < 3 THEN event_type ELSE 'request failed: error' END AS line FROM events),
 runs AS (SELECT user_id, run, any_value(line) AS line, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN lag(line) OVER (PARTITION BY user_id ORDER BY event_id) = line THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY 1, 2)"""
 
 
@@ -44,14 +44,14 @@ PLANS = {
     ),
     "cmp3_search_best": (
         lambda s, d: t.search_best(searches(s, d), "c", "text"),
-        f"""WITH {_FOUND}, scored AS (SELECT *, least(CASE WHEN content LIKE '%error%' THEN 0.5 ELSE 0.0 END + CASE WHEN content LIKE 'def %' THEN 0.3 ELSE 0.0 END + 0.1, 1.0) AS score FROM found),
+        f"""WITH {_FOUND}, scored AS (SELECT *, least(CASE WHEN content LIKE '%error%' THEN 0.5 ELSE 0.0 END + CASE WHEN contains(lower(content), 'def ') THEN 0.3 ELSE 0.0 END + 0.1, 1.0) AS score FROM found),
         w AS (SELECT *, sum(score) OVER (PARTITION BY c, file) AS total, count(*) OVER (PARTITION BY c) AS n, CASE WHEN pos IN (min(pos) OVER (PARTITION BY c, file), max(pos) OVER (PARTITION BY c, file)) THEN 1 ELSE 0 END AS edge FROM scored),
         p AS (SELECT *, dense_rank() OVER (PARTITION BY c ORDER BY round(total, 6) DESC, file) AS fp, row_number() OVER (PARTITION BY c, file ORDER BY edge DESC, score DESC, pos) AS place FROM w WHERE n > 30)
-        SELECT c, file, number, content, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY fp, place) AS rank FROM p WHERE fp <= 15 AND place <= 5) WHERE rank <= least(greatest(ceil(sqrt(n)), 5), 30)""",
+        SELECT c, file, number, content, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY fp, place) AS rank FROM (SELECT *, count(*) FILTER (fp <= 15) OVER (PARTITION BY c) AS among FROM p) WHERE fp <= 15 AND place <= 5) WHERE rank <= least(greatest(ceil(sqrt(among)), 5), 30)""",
     ),
     "cmp12_find_folders": (
-        lambda s, d: t.find_folders(table(s, d, "part").filter("p_partkey <= 600").groupBy((F.col("p_partkey") % 5).alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("./"), F.when(k % 3 == 0, "src/m").when(k % 3 == 1, "node_modules/m").otherwise("m"), (k % 4).cast("string"), F.lit("/k"), k.cast("string"))), "\n").alias("text")), "c", "text"),
-        """WITH p AS (SELECT p_partkey % 5 AS c, p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'src/m' ELSE 'm' END || (p_partkey % 4) AS folder FROM part WHERE p_partkey <= 600 AND p_partkey % 3 <> 1)
+        lambda s, d: t.find_folders(table(s, d, "part").groupBy((F.col("p_partkey") % 5).alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("./"), F.when(k % 3 == 0, "src/m").when(k % 3 == 1, "node_modules/m").otherwise("m"), (k % 4).cast("string"), F.lit("/k"), k.cast("string"))), "\n").alias("text")), "c", "text"),
+        """WITH p AS (SELECT p_partkey % 5 AS c, p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'src/m' ELSE 'm' END || (p_partkey % 4) AS folder FROM part WHERE p_partkey % 3 <> 1)
         SELECT c, folder, count(*) AS n, array_to_string(list('k' || k ORDER BY k)[1:10], ' ') AS files FROM p GROUP BY 1, 2""",
     ),
     "cmp14_html_summary": (

@@ -105,9 +105,10 @@ def batch(events: DataFrame) -> DataFrame:
     return events.groupBy("backend", "session_id").applyInPandas(run, ROW)
 
 
-def stream(events: DataFrame, delay: str = "30 minutes") -> DataFrame:
-    """Added and changed rows of every micro-batch (update mode); the newest version of an id is the one that counts. State
-    of a session goes when the watermark passes its last row's look-back."""
+def stream(events: DataFrame, delay: str = "7 days") -> DataFrame:
+    """Added and changed rows of every micro-batch (update mode); the newest version of an id is the one that counts. Late events
+    follow the rules like others up to `delay` behind the newest of all events; later ones are dropped. State of a session, its rows
+    of the last 30 minutes, goes when the watermark, `delay` behind, passes its last row's look-back."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
