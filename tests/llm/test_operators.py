@@ -542,6 +542,17 @@ def test_nearest_neighbours(spark):
     assert [f[2] for f in sorted(got[700])] == list(range(701, 711))
 
 
+def test_nearest_neighbours_of_a_lonely_query(spark):
+    """A query whose cell holds nothing else still gets ten rows: it visits further cells."""
+    from trailmark.llm.ann import search
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 8)), rng.normal(size=(4, 8)) * 0.01 + 500])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in search(df, F.col("vec_id") == 400).orderBy("rank").collect()]
+    assert len(got) == 10 and set(got[:3]) == {401, 402, 403}
+
+
 def test_nearest_neighbours_few_rows(spark):
     from trailmark.llm.ann import search
 
