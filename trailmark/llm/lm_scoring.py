@@ -4,8 +4,9 @@ Counts of all training words come from the whole corpus. The model predicts the
 tokens before it: the most frequent words and the end are classes of their own, other words fall into classes by
 their first bytes, and within such a class a word has its smoothed share of the corpus counts. For context tokens
 u, v a class w has the logit (C1 r_u + C2 r_v) . q_w + b_w; the parameters are trained in numpy with
-noise-contrastive estimation on a bounded sample. Batched matrix products over all contexts give the normalisers once,
-so that a token costs three look-ups.
+noise-contrastive estimation. They start from a bounded sample; then every task carries them through all training texts
+of its partition, and the average of the tasks' parameters, weighted by tokens, is the model. Batched matrix products
+over all contexts give the normalisers once, so that a token costs three look-ups.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from trailmark.llm.common import hash_sample, remainder, written
 TOP_WORDS, OTHER_CLASSES, WIDTH = 1000, 64, 32
 #: Words whose counts every task holds; the counts of all others meet their words in a join.
 HELD_WORDS = 60_000
-#: The bounded sample that the neural part is trained on.
+#: The bounded sample that the neural part starts from; after it, all training texts are learnt from.
 SAMPLE_TEXTS, SAMPLE_CHARS = 2500, 40_000
-EPOCHS, BATCH, NOISE = 3, 2048, 128
+EPOCHS, BATCH, NOISE, RATE = 3, 2048, 128, 0.003
+#: The pass over all training texts: contexts a step, drawn noise classes, step size, contexts that are shuffled together.
+PASS_BATCH, PASS_NOISE, PASS_RATE, PASS_HELD = 4096, 128, 0.0005, 1 << 17
 #: Distinct words that a counting task holds before it passes them on.
 MOST_COUNTED = 400_000
 END = b""
@@ -78,51 +81,127 @@ def other_class(word: bytes) -> int:
     return zlib.crc32(word[:2]) % OTHER_CLASSES
 
 
-def train(sequences: list[np.ndarray], size: int, seed: int = 0) -> dict[str, np.ndarray]:
-    """S1, S2 (logits that a context token one or two back adds for each class) and b, by noise-contrastive estimation.
-
-    sequences: classes of the tokens of each text. Class `size` stands for what precedes a text."""
+def contexts(sequences: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the classes of the token before it, of the one before that, and its own. Class `size` stands for what
+    precedes a text."""
+    padded = [np.concatenate([[size, size], s]) for s in sequences]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k : len(p) - 2 + k] for p in padded)]).astype(np.int64) for k in (1, 0, 2))
+
+
+class Learner:
+    """The parameters r, q, c1, c2, b, with one step of noise-contrastive estimation (by Adam) at a time.
+
+    Both places of the context share the words' embeddings r; c1 and c2 set them apart."""
+
+    def __init__(self, params: list[np.ndarray], noise: np.ndarray, drawn: int, rate: float, seed):
+        self.params, self.noise, self.drawn, self.rate = params, noise, drawn, rate
+        self.rng = np.random.default_rng(seed)
+        self.first, self.second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        self.log_noise, self.cumulative, self.steps = np.log(drawn * noise).astype(np.float32), np.cumsum(noise), 0
+
+    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        r, q, c1, c2, b = self.params
+        size = len(q)
+        k = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.drawn)), size - 1)
+        ru, rv = r[u], r[v]
+        hidden = ru @ c1 + rv @ c2
+        seen = (hidden * q[w]).sum(1) + b[w] - self.log_noise[w]
+        drawn = hidden @ q[k].T + b[k] - self.log_noise[k]
+        # Derivatives of the log-likelihood of telling data from noise.
+        d_seen = 1 / (1 + np.exp(np.clip(seen, -30, 30)))
+        d_drawn = -1 / (1 + np.exp(-np.clip(drawn, -30, 30)))
+        d_hidden = d_seen[:, None] * q[w] + d_drawn @ q[k]
+        to_q = summed(w, d_seen[:, None] * hidden, size) + summed(k, d_drawn.T @ hidden, size)
+        to_b = np.bincount(w, d_seen, size) + np.bincount(k, d_drawn.sum(0), size)
+        to_r = summed(u, d_hidden @ c1.T, size + 1) + summed(v, d_hidden @ c2.T, size + 1)
+        grads = [to_r, to_q, ru.T @ d_hidden, rv.T @ d_hidden, to_b]
+        self.steps += 1
+        for p, g, m, s in zip(self.params, grads, self.first, self.second, strict=True):
+            g = (g / len(u)).astype(np.float32)
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            p += self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.999**self.steps)) + 1e-8)
+
+    def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, batch: int) -> None:
+        """Steps through all of these contexts in a random order."""
+        order = self.rng.permutation(len(target))
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            self.step(one[rows], two[rows], target[rows])
+
+
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows that go to each of `size` places."""
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), size * width).reshape(size, width)
+
+
+def start(sequences: list[np.ndarray], size: int, seed: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Parameters learnt from a sample (classes of the tokens of each text), and the noise distribution."""
     rng = np.random.default_rng(seed)
     counts = np.bincount(np.concatenate([*sequences, np.arange(size)]), minlength=size).astype(np.float64)
     noise = counts / counts.sum()
-    r1, r2, q = (rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32) for n in (size + 1, size + 1, size))
+    r, q = (rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32) for n in (size + 1, size))
     c1, c2 = (np.eye(WIDTH, dtype=np.float32) for _ in range(2))
-    b = np.log(noise).astype(np.float32)
-    padded = [np.concatenate([[size, size], s]) for s in sequences]
-    one, two, target = (np.concatenate([p[k : len(p) - 2 + k] for p in padded]) if padded else np.zeros(0, int) for k in (1, 0, 2))
-    r2 = r1  # both places share the words' embeddings; c1 and c2 set them apart
-    params = [r1, q, c1, c2, b]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    log_noise, cumulative, step = np.log(NOISE * noise).astype(np.float32), np.cumsum(noise), 0
+    learner = Learner([r, q, c1, c2, np.log(noise).astype(np.float32)], noise, NOISE, RATE, seed + 1)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(target))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            u, v, w = one[rows], two[rows], target[rows]
-            k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), size - 1)
-            ru, rv = r1[u], r2[v]
-            hidden = ru @ c1 + rv @ c2
-            seen = (hidden * q[w]).sum(1) + b[w] - log_noise[w]
-            drawn = hidden @ q[k].T + b[k] - log_noise[k]
-            # Derivatives of the log-likelihood of telling data from noise.
-            d_seen = 1 / (1 + np.exp(np.clip(seen, -30, 30)))
-            d_drawn = -1 / (1 + np.exp(-np.clip(drawn, -30, 30)))
-            d_hidden = d_seen[:, None] * q[w] + d_drawn @ q[k]
-            grads = [np.zeros_like(p) for p in params]
-            np.add.at(grads[0], u, d_hidden @ c1.T)
-            np.add.at(grads[0], v, d_hidden @ c2.T)
-            np.add.at(grads[1], w, d_seen[:, None] * hidden)
-            np.add.at(grads[1], k, d_drawn.T @ hidden)
-            grads[2], grads[3] = ru.T @ d_hidden, rv.T @ d_hidden
-            np.add.at(grads[4], w, d_seen)
-            np.add.at(grads[4], k, d_drawn.sum(0))
-            step += 1
-            for p, g, m, s in zip(params, grads, first, second, strict=True):
-                g /= len(rows)
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                p += 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return {"s1": r1 @ c1 @ q.T, "s2": r1 @ c2 @ q.T, "b": b}
+        learner.learn(*contexts(sequences, size), BATCH)
+    return learner.params, noise
+
+
+def logits(params: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """s1, s2 (what a context token one or two back adds to each class) and b."""
+    r, q, c1, c2, b = params
+    return {"s1": r @ c1 @ q.T, "s2": r @ c2 @ q.T, "b": b}
+
+
+def train(sequences: list[np.ndarray], size: int, seed: int = 0) -> dict[str, np.ndarray]:
+    """The model of a bounded list of texts alone."""
+    return logits(start(sequences, size, seed)[0])
+
+
+def learnt_from_all(texts: DataFrame, params: list[np.ndarray], noise: np.ndarray, classes_of) -> list[np.ndarray]:
+    """The parameters after a pass over the column `text` of texts: each task goes on from params through the whole texts
+    of its partition, and the tasks' parameters are averaged by their tokens.
+
+    classes_of(text) gives the classes of a text's tokens. Tasks send one number for each parameter, whatever they read;
+    the sums are native aggregates, and the driver gets one row for each parameter. Without texts params come back."""
+    spark, sizes = texts.sparkSession, [p.size for p in params]
+    begin = spark.sparkContext.broadcast((params, noise))
+
+    def run(batches):
+        params, noise = begin.value
+        learner = Learner([p.copy() for p in params], noise, PASS_NOISE, PASS_RATE, TaskContext.get().partitionId())
+        held, n, total = [], 0, 0
+
+        def learn():
+            learner.learn(*contexts(held, len(noise)), PASS_BATCH)
+            held.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                # A piece of a very long text goes on without the two tokens before it.
+                found = classes_of(text.as_py())
+                total += len(found)
+                for at in range(0, len(found), PASS_HELD):
+                    held.append(found[at : at + PASS_HELD])
+                    n += len(held[-1])
+                    if n >= PASS_HELD:
+                        learn()
+                        n = 0
+        if held:
+            learn()
+        if total:
+            flat = np.concatenate([p.ravel() for p in learner.params]).astype(np.float64) * total
+            yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), total, np.int64))], ["place", "value", "n"])
+
+    moved = texts.select("text").mapInArrow(run, "place int, value double, n long")
+    average = written(moved.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")), "lm-parameters").toPandas()  # one row a parameter
+    begin.destroy()
+    if not len(average):
+        return params
+    flat = average.sort_values("place").value.to_numpy(np.float32)
+    return [part.reshape(p.shape) for part, p in zip(np.split(flat, np.cumsum(sizes)[:-1]), params, strict=True)]
 
 
 def normalisers(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -140,6 +219,25 @@ class Held(dict):
         return -1 - other_class(word)
 
 
+class Vocabulary:
+    """The held words and their classes, from a broadcast; every process builds its own dictionary once."""
+
+    def __init__(self, shared, end_class: int):
+        self.shared, self.end_class, self.held = shared, end_class, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": None}
+
+    def places(self, found: list[bytes]) -> np.ndarray:
+        if self.held is None:
+            self.held = Held({w: i for i, w in enumerate(self.shared.value[0])})
+        return np.fromiter(map(self.held.__getitem__, found), np.int64, len(found))
+
+    def classes(self, place: np.ndarray) -> np.ndarray:
+        own = self.shared.value[1]
+        return np.where(place >= 0, own[np.maximum(place, 0)] if len(own) else 0, self.end_class - place)
+
+
 def score(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of docs.
 
@@ -169,27 +267,29 @@ def score(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFrame:
         class_v[other_class(word)] -= 1
     log_class = np.log10(class_n + class_v + 1)
 
-    places = Held({w: i for i, w in enumerate(top.word)})
+    shared_words = spark.sparkContext.broadcast((list(top.word), classes))
+    vocabulary = Vocabulary(shared_words, end_class)
 
-    def class_of(place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, classes[np.maximum(place, 0)] if len(classes) else 0, end_class - place)
+    def classes_of(text: str | None) -> np.ndarray:
+        found = tokens(text)
+        return np.append(vocabulary.classes(vocabulary.places(found)), end_class)
 
-    sample = rows.filter(~F.col("held_out") & (F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS))
-    texts = hash_sample(sample.select("doc_id", "text"), SAMPLE_TEXTS, "doc_id").toPandas().sort_values(["doc_id", "text"]).text  # bounded
-    sequences = [np.append(class_of(np.fromiter(map(places.__getitem__, t), np.int64, len(t))), end_class) for t in map(tokens, texts)]
-    model = train(sequences, size)
+    training = rows.filter(~F.col("held_out")).select("doc_id", "text")
+    sample = hash_sample(training.filter(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS), SAMPLE_TEXTS, "doc_id")
+    texts = sample.toPandas().sort_values(["doc_id", "text"]).text  # bounded
+    params, noise = start([classes_of(t) for t in texts], size)
+    model = logits(learnt_from_all(training, params, noise, classes_of))
     ln10 = math.log(10)
     log_z, s1, s2, b = (x.astype(np.float32) / np.float32(ln10) for x in (normalisers(model), model["s1"], model["s2"], model["b"]))
     c = top.c.to_numpy(np.float64)
     log_base = np.log10(n + (v + 1))
     base_of = np.log10(c + 1) - log_base
     own_of = np.where(np.arange(len(c)) < end_class, 0.0, np.log10(c + 1) - log_class[np.maximum(classes - end_class - 1, 0)])
-    shared = spark.sparkContext.broadcast((list(top.word), classes, base_of, own_of, log_class, log_z, s1, s2, b))
+    shared = spark.sparkContext.broadcast((base_of, own_of, log_class, log_z, s1, s2, b))
     base_end, known_end = math.log10(n_ends + 1) - log_base, int(n_ends > 0)
 
     def run(batches):
-        held, classes, base_of, own_of, log_class, log_z, s1, s2, b = shared.value
-        held = Held({w: i for i, w in enumerate(held)})
+        base_of, own_of, log_class, log_z, s1, s2, b = shared.value
         made, task = 0, TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -198,9 +298,8 @@ def score(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFrame:
                 words, times, ends = [], [], [0]
                 for text in batch.column(1):
                     found = tokens(text.as_py())
-                    place = np.fromiter(map(held.__getitem__, found), np.int64, len(found))
-                    known = place >= 0
-                    group = np.where(known, classes[np.maximum(place, 0)] if len(classes) else 0, end_class - place)
+                    place = vocabulary.places(found)
+                    known, group = place >= 0, vocabulary.classes(place)
                     path = np.concatenate([[size, size], group, [end_class]])
                     u, x, w = path[1:-1], path[:-2], path[2:]
                     model_score = (s1[u, w].astype(np.float64) + s2[x, w] + b[w] - log_z[u, x]).sum()
@@ -226,6 +325,8 @@ def score(docs: DataFrame, fold: int = 7, held_out: int = 2) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
     spec = f"doc_id {key}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>"
     parts = written(rows.select("doc_id", "text", "held_out").mapInArrow(run, spec), "lm-parts")
+    shared.destroy()
+    shared_words.destroy()
     met = parts.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     more = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 1)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen"))
