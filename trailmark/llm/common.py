@@ -17,9 +17,11 @@ WHITE = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them reach")
         found = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_forget, spark, found)
