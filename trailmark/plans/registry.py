@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trailmark.plans import behaviour, commands, ctx, deps, dlp, graph, more, stats, streaming, text
+from trailmark.plans import behaviour, commands, ctx, deps, dlp, graph, hooks, more, stats, streaming, text
 
-MODULES = (stats, behaviour, dlp, graph, deps, text, ctx, streaming, commands, more)
+MODULES = (stats, behaviour, dlp, graph, deps, text, ctx, streaming, commands, more, hooks)
 
 
 def queries() -> dict:
