@@ -135,6 +135,20 @@ def test_lm_learns_order():
     assert p.argmax() == 2 and p[2] > 0.8
 
 
+def test_lm_learns_from_texts_outside_the_sample(spark, monkeypatch):
+    from trailmark.llm import lm_scoring as lm
+
+    table = docs(spark, [(i, "a b c d " * 150, "x") for i in range(120)]).repartition(2)
+
+    def total():
+        return sum(r.score for r in lm.score(table).collect())
+
+    monkeypatch.setattr(lm, "SAMPLE_TEXTS", 2)
+    with_pass = total()
+    monkeypatch.setattr(lm, "learnt_from_all", lambda texts, params, noise, classes_of: params)
+    assert with_pass > total() + 1
+
+
 def test_lm_edges(spark):
     from trailmark.llm.lm_scoring import score
 
