@@ -123,10 +123,16 @@ def content_hash(text: Column) -> Column:
 
 
 def with_cache(rows: DataFrame, text: str, cache: DataFrame) -> DataFrame:
-    """rows with the cached result of equal content, if there is one, and how often each entry was hit."""
+    """rows with the cached result of equal content, if there is one."""
     return rows.withColumn("hash", content_hash(F.col(text))).join(cache.select("hash", "compressed"), "hash", "left").withColumn("hit", F.col("compressed").isNotNull())
 
 
+def hit_counts(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """hash, hits: how often rows of with_cache met each entry; entries that none met have 0."""
+    hits = rows.filter("hit").groupBy("hash").agg(F.count(F.lit(1)).alias("hits"))
+    return cache.select("hash").join(hits, "hash", "left").select("hash", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
 def exported(rows: DataFrame) -> DataFrame:
     """Bodies as JSON values where they are JSON, else as strings: what a JSONL export writes."""
     body = F.coalesce(F.to_json(F.try_parse_json("request_body")), F.regexp_extract(F.to_json(F.array("request_body")), r"(?s)^\[(.*)\]$", 1))

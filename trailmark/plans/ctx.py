@@ -27,6 +27,13 @@ def transcripts(spark, sf_dir):
     return c.select(F.col("conv_id").alias("id"), F.col("turn").alias("line"), "role", F.when(F.col("role") == "assistant", F.length("text")).alias("tokens"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("m"), (F.col("turn") % 4).cast("string"))).alias("model"))
 
 
+def entry_hits(spark, sf_dir):
+    """Entries from a third of the texts and one that nothing meets."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = d.filter("doc_id % 3 = 0").select(ctx.content_hash(F.col("text")).alias("hash"), F.lit("x").alias("compressed")).unionByName(spark.sql("select 'none' as hash, 'x' as compressed")).dropDuplicates(["hash"])
+    return ctx.hit_counts(ctx.with_cache(d, "text", cache), cache)
+
+
 PLANS = {
     "ctx1_win5_cache_hits": (lambda s, d: ctx.cache_hits(reads(s, d)), f"WITH {_READS} SELECT * FROM hits"),
     "ctx1_cache_totals": (
@@ -59,6 +66,10 @@ PLANS = {
         lambda s, d: ctx.with_cache(table(s, d, "documents").select("doc_id", "text"), "text", table(s, d, "documents").filter("doc_id % 3 = 0").select(ctx.content_hash(F.col("text")).alias("hash"), F.lit("x").alias("compressed")).dropDuplicates(["hash"])).select("doc_id", "hash", "hit"),
         "SELECT doc_id, left(md5(text), 16) AS hash, left(md5(text), 16) IN (SELECT left(md5(text), 16) FROM documents WHERE doc_id % 3 = 0) AS hit FROM documents",
     ),
+    "snk7_entry_hits": (
+        entry_hits,
+        "SELECT left(md5(text), 16) AS hash, count(*) AS hits FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) GROUP BY 1 UNION ALL SELECT 'none', 0",
+    ),
     "snk8_codec_round_trip": (
         lambda s, d: table(s, d, "documents").select("doc_id", ctx.decoded(ctx.encoded(F.col("text"))).alias("text")),
         "SELECT doc_id, text FROM documents",
