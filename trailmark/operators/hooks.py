@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.ctx import cache_hits, decoded
 from trailmark.operators.dlp import estimated_tokens
+from trailmark.operators.stats import path_tokens
 
 EDITS = "array<struct<old_string:string,new_string:string,replace_all:boolean>>"
 
@@ -158,3 +159,14 @@ def stop_route(turn_id: Column, output_tokens: Column, message: Column) -> Colum
     turn = F.coalesce(turn_id, F.lit("")) != ""
     kind = F.concat(F.when(turn, F.lit("output")).otherwise(F.lit("close")), F.when(output_tokens.isNotNull(), F.lit("_usage")).otherwise(F.lit("")))
     return F.struct(kind.alias("kind"), F.coalesce(output_tokens, estimated_tokens(F.coalesce(message, F.lit("")))).alias("tokens"))
+
+
+def replaced_symbols(stored: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
+    """stored with all rows of the files (cwd, file_path) replaced by found: a file without symbols left has none."""
+    return stored.join(files.select("cwd", "file_path").distinct(), ["cwd", "file_path"], "left_anti").unionByName(found)
+
+
+def existing_paths(commands: DataFrame, files: DataFrame) -> DataFrame:
+    """commands (id, command) to id, path: the paths named in a command that are files (path)."""
+    named = commands.select("id", F.explode(path_tokens(F.col("command"))).alias("path"))
+    return named.join(files.select("path"), "path", "left_semi").select("id", "path")

@@ -134,7 +134,30 @@ p AS (SELECT doc_id, lines, list_filter(list_concat([2, 3, 1], range(500, len(li
 SELECT doc_id, md5(CASE WHEN len(picked) > 0 THEN array_to_string(list_transform(picked, lambda i: printf('%4d| ', i) || lines[i]), chr(10)) ELSE 'No lines matched the range.' END) AS shown FROM p"""
 
 
+def replaced(spark, sf_dir):
+    """Every fifth file is read again: of its symbols those of even keys are left, one line below."""
+    p = table(spark, sf_dir, "part").select(F.lit("/p").alias("cwd"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("file_path"), F.col("p_name").alias("name"), F.col("p_partkey").alias("line"), "p_size")
+    again = p.filter("p_size % 5 = 0")
+    found = again.filter("line % 2 = 0").withColumn("line", F.col("line") + 1)
+    return hooks.replaced_symbols(p.drop("p_size"), found.drop("p_size"), again)
+
+
+def command_files(spark, sf_dir):
+    r = requests(spark, sf_dir).filter("tool_name = 'Bash'")
+    commands = r.select("id", F.concat(F.lit("cat -n 'src/f"), (F.col("k") % 12).cast("string"), F.lit(".py' other.txt | head")).alias("command"))
+    files = r.select(F.concat(F.lit("src/f"), (F.col("k") % 6).cast("string"), F.lit(".py")).alias("path")).distinct()
+    return hooks.existing_paths(commands, files)
+
+
 PLANS = {
+    "snk3_replaced_symbols": (
+        replaced,
+        "SELECT '/p' AS cwd, 'f' || p_size AS file_path, p_name AS name, CASE WHEN p_size % 5 = 0 THEN p_partkey + 1 ELSE p_partkey END AS line FROM part WHERE p_size % 5 <> 0 OR p_partkey % 2 = 0",
+    ),
+    "sym2_command_files": (
+        command_files,
+        f"WITH {REQUESTS} SELECT id, 'src/f' || (k % 12) || '.py' AS path FROM requests WHERE tool_name = 'Bash' AND k % 12 IN (SELECT k % 6 FROM requests WHERE tool_name = 'Bash')",
+    ),
     "dlp18_written_contents": (writes, _WRITES),
     "dlp19_clean_bodies": (
         bodies,
